@@ -4,11 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, line_dedup, mixing
-from tidelog.llm.common import table
+from tidelog.llm import exact_dedup, gif, line_dedup, mixing, packing, quality
+from tidelog.llm.common import materialise, table
+
+
+def remainder(column: str, n: int) -> F.Column:
+    """crc32 of an id's text modulo n, by which labelled and training rows are told from held-out ones."""
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = gif.decode(gif.store(table(spark, sf_dir, "documents")))
+    shown = F.element_at("frames", -1)
+    feature = F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("ms="), shown["start_ms"] + shown["delay_ms"]), F.concat(F.lit("hist="), F.concat_ws(",", shown["histogram"])))
+    return out.select(
+        "doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +37,24 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = materialise(quality.features(table(spark, sf_dir, "documents")), "quality")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1)
+    scored = quality.score_features(feats, quality.fit(feats, labels))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op5_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_gif, op2_line_dedup, op5_mixing, op6_packing, op7_quality, op10_exact_dedup)}
 
 
 OP2_SQL = """
