@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, gif, line_dedup, mixing, packing, quality
+from tidelog.llm import exact_dedup, gif, line_dedup, mixing, packing, quality, toxicity
 from tidelog.llm.common import materialise, table
 
 
@@ -49,12 +49,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2))
+    return toxicity.score(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif, op2_line_dedup, op5_mixing, op6_packing, op7_quality, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_gif, op2_line_dedup, op5_mixing, op6_packing, op7_quality, op9_toxicity, op10_exact_dedup)}
 
 
 OP2_SQL = """
