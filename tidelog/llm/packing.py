@@ -14,7 +14,9 @@ the full length unless its tokens are a power of two.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,9 @@ from tidelog.llm import common
 
 LENGTH, END, GROUP = 2048, 1, 2000
 #: Words whose ids a worker keeps; the table is emptied when it is full.
-KEEP = 400_000
+KEEP = 600_000
 
-_TAIL = re.compile(r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+\Z""")
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _BREAK = re.compile(r"(?<=\S)(\n)(?=\S)")
 _UNSAFE = re.compile(r"\s (?!\S)")
 _BLANKS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x1c ", "\x1d ", "\x1e ", "\x1f ")
@@ -49,27 +51,36 @@ class WordTokenizer:
         self.ids: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint16).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("H", x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def parts(word: str) -> list[str]:
         """Splits a part further where the tokenizer would: around a line break, and before the signs at its end."""
         out = []
         for x in _BREAK.split(word):
-            m = _TAIL.search(x)
-            if m and m.start() and x[: m.start()].removeprefix(" ").isalpha():
-                out += [x[: m.start()], m[0]]
-            else:
-                out.append(x)
+            core = x.rstrip(_SIGNS)
+            out += [core, x[len(core) :]] if len(core) < len(x) and core.removeprefix(" ").isalpha() else [x]
         return out
 
     def learn(self, words: set[str]) -> None:
-        split = {w: self.parts(w) for w in words}
-        new = list({p for ps in split.values() for p in ps if p not in self.ids})
-        self.ids.update(zip(new, self.encode(new)))
+        ids, split = self.ids, {}
+        need = set()
+        for w in words:
+            if w[1:].isalpha():
+                need.add(w)
+                continue
+            core = w.rstrip(_SIGNS)
+            if len(core) < len(w) and core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+                split[w] = ps = (core, w[len(core) :])
+            elif "\n" in w and len(ps := self.parts(w)) > 1:
+                split[w] = ps
+            else:
+                ps = (w,)
+            need.update(ps)
+        new = list(need - ids.keys())
+        ids.update(zip(new, self.encode(new)))
         for w, ps in split.items():
-            if len(ps) > 1:
-                self.ids[w] = b"".join([self.ids[p] for p in ps])
+            ids[w] = b"".join([ids[p] for p in ps])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 16-bit numbers."""
@@ -97,6 +108,7 @@ _LOADED: dict[str, WordTokenizer] = {}
 def tokenizer(path: str) -> WordTokenizer:
     """One for each worker and file."""
     if path not in _LOADED:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
 
