@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, gif, line_dedup, mixing, near_dup, packing, quality, toxicity
+from tidelog.llm import exact_dedup, gif, language_model, line_dedup, mixing, near_dup, packing, quality, toxicity
 from tidelog.llm.common import materialise, table
 
 
@@ -53,6 +53,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 1)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2))
@@ -64,7 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif, op2_line_dedup, op3_near_dup, op5_mixing, op6_packing, op7_quality, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_gif, op2_line_dedup, op3_near_dup, op5_mixing, op6_packing, op7_quality, op8_language_model, op9_toxicity, op10_exact_dedup)}
 
 
 OP2_SQL = """
