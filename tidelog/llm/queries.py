@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, gif, language_model, line_dedup, mixing, near_dup, packing, quality, toxicity
+from tidelog.llm import exact_dedup, gif, language_model, line_dedup, mixing, near_dup, packing, quality, suffix_dedup, toxicity
 from tidelog.llm.common import materialise, table
 
 
@@ -36,6 +36,10 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -68,7 +72,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gif, op2_line_dedup, op3_near_dup, op5_mixing, op6_packing, op7_quality, op8_language_model, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_gif, op2_line_dedup, op3_near_dup, op4_suffix_dedup, op5_mixing, op6_packing, op7_quality, op8_language_model, op9_toxicity, op10_exact_dedup)}
 
 
 OP2_SQL = """
