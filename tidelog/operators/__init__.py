@@ -1 +1 @@
-
+"""Operators over operation logs and manifests: DataFrames in, DataFrames out, no IO."""

@@ -1 +1 @@
-
+"""Structured Streaming in and over the store."""
