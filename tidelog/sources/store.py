@@ -116,7 +116,7 @@ class Store:
         self.files.create(f"snapshots/{name}", json.dumps(dataclasses.asdict(s) | {"tags": sorted(s.tags)}), overwrite=True)
         return name, s.seq_no
 
-    def manifest(self) -> DataFrame:
+    def runs_frame(self) -> DataFrame:
         rows = [tuple(r.get(c) for c in RUNS.fieldNames()) for r in self.state().runs.values()]
         return self.spark.createDataFrame(rows, RUNS)
 
@@ -128,7 +128,7 @@ class Store:
         return self.spark.createDataFrame([(i, n) for n, i in self.state().tables.items()], "table_id long, table_name string")
 
     def summary(self) -> DataFrame:
-        return manifest.summary(self.manifest(), self.tables_frame())
+        return manifest.summary(self.runs_frame(), self.tables_frame())
 
     # tables
 
@@ -374,7 +374,7 @@ class Store:
 
     def maintain(self, snapshot_lag: int = manifest.SNAPSHOT_LAG, **thresholds: int) -> list[int]:
         """Schedules and runs every compaction that is due, and a snapshot if the last lies far behind."""
-        due = manifest.plan_jobs(self.manifest(), **thresholds).collect()
+        due = manifest.plan_jobs(self.runs_frame(), **thresholds).collect()
         ids = [self.kick_off(r["job_type"], r["table_id"], r["level"]) for r in due]
         for i in ids:
             self.run_job(i)
