@@ -2,15 +2,17 @@
 
 A document's set holds its distinct five-word shingles. Equal sets become one class. A tree starts with all classes
 and branches them by the value of a minwise token that the node chooses; TREES independent trees do so, each pair at
-similarity s staying together in one with probability s at the first branching (1 - s ** 10 < 1e-6 remains missed at
-0.75 over the trees). A node of at most SMALL classes is compared exhaustively on 128-byte sketches; pairs that may
-reach the threshold are confirmed on the full sets. Nodes with the same members count once.
-
-A larger node is compared with one pivot of its own first. Where confirmed links make its members one component it is
-done, as no further link can change that; else it branches again into BRANCHES children, on tokens that it chooses.
-What is still large after LEVELS is compared across its components directly, which is exact and never more than the
-members outside the largest one times all. So a large group of near copies costs a comparison for each member and
-tree, no step gathers a group that is not small, and nothing is capped or sampled.
+similarity s staying together in one with probability s at the first branching ((1 - s) ** 10, under 1e-6, is missed at
+0.75 over the trees). A node of at most SMALL classes is compared exhaustively on 256-byte sketches (estimates 0.1 below
+the threshold pass): first a spanning forest of its most similar members is confirmed on the full sets, and once all
+such links are joined, every pair that they leave apart. Nodes with the same members count once.
+
+A larger node is compared with one pivot first, the member nearest to its most frequent tokens; members that stay out
+of a component which has half of the node then meet TRIES members of it, and FEW or fewer that still stay out meet all.
+Where confirmed links make the members one component, or those few are through, the node is done; else it branches
+again, into 4/3 children on average, on tokens that it chooses. What is still large after LEVELS is compared across its components directly, which is exact
+and never more than the members outside the largest one times all. So a large group of near copies costs a few
+comparisons for each member and tree, no step gathers a group that is not small, and nothing is capped or sampled.
 
 Only ids and sketches are shuffled for the search; texts of classes in some candidate pair are read again for their
 sets, which are dealt by class.
@@ -33,12 +35,13 @@ from pyspark.sql import functions as F
 from tidelog.llm import common
 
 WORDS, PERCENT = 5, 75
-TREES, POOL, BRANCHES, LEVELS, SMALL = 10, 24, 3, 4, 200
-BINS, SURE, MAYBE = 128, 0.85, 0.55
+TREES, POOL, LEVELS, SMALL, TRIES, FEW = 10, 24, 4, 200, 4, 16
+BINS, MAYBE = 256, 0.63
+BIN_BITS = 8
 
 with np.errstate(over="ignore"):
     _ODD = common.mix64(np.arange(1, POOL + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BIN_BITS)
 
 
 def shingle_set(text: bytes, k: int = WORDS) -> np.ndarray:
@@ -100,41 +103,50 @@ def _size_fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
 
 
-def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b, first) of sorted whole nodes; first: the pairs of a spanning forest of the most similar."""
-    for t in common.whole_groups(batches, "node"):
-        node, cid, n = (t.column(c).to_numpy() for c in ("node", "cid", "n"))
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        bounds = common.group_bounds(node)
-        out_a, out_b, out_f = [], [], []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if hi - lo < 2:
-                continue
-            ii, jj, ee = [], [], []
-            for i in range(lo, hi - 1):
-                est = _similar(sk[i], sk[i + 1 : hi])
-                ok = np.flatnonzero((est >= MAYBE) & _size_fits(n[i], n[i + 1 : hi]))
-                ii += [i] * len(ok)
-                jj += (ok + i + 1).tolist()
-                ee += est[ok].tolist()
-            parent = list(range(hi - lo))
-
-            def root(x: int, parent: list[int] = parent) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for k in sorted(range(len(ee)), key=lambda k: -ee[k]):
-                x, y = root(ii[k] - lo), root(jj[k] - lo)
-                first = x != y
-                if first:
-                    parent[max(x, y)] = min(x, y)
-                p, q = int(cid[ii[k]]), int(cid[jj[k]])
-                out_a.append(min(p, q))
-                out_b.append(max(p, q))
-                out_f.append(first)
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_f, pa.bool_())], ["a", "b", "first"])
+def _compare_small(forest: bool):
+    """Candidate pairs (a, b) of sorted whole nodes: a spanning forest of the most similar members, or all pairs of
+    different roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in common.whole_groups(batches, "node"):
+            node, cid, n, roots = (t.column(c).to_numpy() for c in ("node", "cid", "n", "root"))
+            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            bounds = common.group_bounds(node)
+            out_a, out_b = [], []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                found = []
+                for i in range(lo, hi - 1):
+                    rest = slice(i + 1, hi)
+                    near = i + 1 + np.flatnonzero(_size_fits(n[i], n[rest]) & (roots[rest] != roots[i]))
+                    if len(near):
+                        est = _similar(sk[i], sk[near])
+                        ok = est >= MAYBE
+                        found += zip(est[ok].tolist(), [i] * int(ok.sum()), near[ok].tolist())
+                if forest:
+                    found = _forest(sorted(found, reverse=True), lo, hi)
+                for _, i, j in found:
+                    p, q = int(cid[i]), int(cid[j])
+                    out_a.append(min(p, q))
+                    out_b.append(max(p, q))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _forest(pairs: list[tuple[float, int, int]], lo: int, hi: int) -> list[tuple[float, int, int]]:
+    """The pairs that join what those before them have not."""
+    parent = list(range(hi - lo))
+    out = []
+    for est, i, j in pairs:
+        x, y = i - lo, j - lo
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((est, i, j))
+    return out
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +196,8 @@ class _Join:
             ends = ends.join(self.short.select(F.col("cid").alias(e), F.col("n").alias(f"n_{e}"), F.col("sketch").alias(f"sketch_{e}")), e)
         return common.map_arrow(ends.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), _likely, "a long, b long")
 
-    def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """cid and shingles of every class in pairs."""
-        used = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    def sets_of(self, used: DataFrame) -> DataFrame:
+        """cid and shingles of the classes in used, a column of distinct cid."""
         used = self.classes.select("cid", "low", "h1", "h2").join(used, "cid", "left_semi")
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         found = texts.join(used, F.col("doc_id").eqNullSafe(F.col("low"))).select("cid", "h1", "h2", "text")
@@ -198,54 +209,82 @@ class _Join:
             pairs = pairs.join(sets.select(F.col("cid").alias(e), F.col("shingles").alias(f"shingles_{e}")), e)
         return common.map_arrow(pairs.select("a", "b", "shingles_a", "shingles_b"), _confirm, "a long, b long")
 
-    def small_pairs(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Candidates (a, b, first) from nodes that are compared exhaustively."""
-        members = rows.join(nodes.where(F.col("size") <= SMALL).select("node"), "node").join(self.short, "cid")
-        members = members.select("node", "cid", "n", "sketch").repartition("node").sortWithinPartitions("node")
-        pairs = common.map_arrow(members, _compare_small, "a long, b long, first boolean")
-        return pairs.groupBy("a", "b").agg(F.max("first").alias("first"))
+    def small_pairs(self, members: DataFrame, forest: bool) -> DataFrame:
+        """Candidates (a, b) from nodes (node, cid, root) that are compared exhaustively."""
+        rows = members.join(self.short, "cid").select("node", "cid", "root", "n", "sketch").repartition("node").sortWithinPartitions("node")
+        return common.map_arrow(rows, _compare_small(forest), "a long, b long").distinct()
+
+    def pivots(self, members: DataFrame) -> DataFrame:
+        """node and pivot: the member that agrees with the most frequent tokens of its node in most orders, so that
+        copies which are similar to their origin only, not to each other, meet in it."""
+        tokens = members.join(self.classes.select("cid", F.slice("mins", TREES + 1, POOL - TREES).alias("mins")), "cid").select("node", "cid", F.posexplode("mins").alias("at", "token"))
+        often = tokens.groupBy("node", "at", "token").count().groupBy("node", "at").agg(F.max(F.struct("count", "token"))["token"].alias("token"))
+        agreeing = tokens.join(often, ["node", "at", "token"]).groupBy("node", "cid").count()
+        return agreeing.groupBy("node").agg(F.max(F.struct("count", "cid"))["cid"].alias("pivot"))
+
+    def labelled(self, members: DataFrame, links: list[DataFrame], hops: int = 4) -> DataFrame:
+        """members with root: the least class within some links of each, one for all around a pivot and its neighbours."""
+        links = self._all(links)
+        loops = links.select(F.explode(F.array("a", "b")).alias("a")).distinct().select("a", F.col("a").alias("b"))
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(loops)
+        label = loops.select("a", F.col("b").alias("m"))
+        for _ in range(hops):
+            label = both.join(label.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
+        return common.materialise(members.join(label.withColumnRenamed("a", "cid"), "cid", "left").select("node", "cid", F.coalesce("m", "cid").alias("root")), "labelled")
+
+    @staticmethod
+    def mixed(labelled: DataFrame) -> DataFrame:
+        """Members of the nodes that hold more than one root."""
+        return labelled.join(labelled.groupBy("node").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("node"), "node")
+
+    def stray_pairs(self, rest: DataFrame) -> DataFrame:
+        """In nodes that one root has half of: each other member with TRIES members of that root."""
+        sizes = rest.groupBy("node", "root").count()
+        top = sizes.groupBy("node").agg(F.max(F.struct("count", "root"))["root"].alias("top"), F.max("count").alias("most"), F.sum("count").alias("size")).where("2 * most >= size").select("node", "top")
+        rest = rest.join(top, "node")
+        tries = [F.min(F.when(F.col("root") == F.col("top"), F.struct(F.xxhash64("cid", "node", F.lit(k)), "cid")))["cid"] for k in range(TRIES)]
+        tries = rest.groupBy("node").agg(F.array_distinct(F.array(*tries)).alias("tries"))
+        return rest.where("root != top").join(tries, "node").select(F.explode("tries").alias("a"), F.col("cid").alias("b"))
 
     def edges(self) -> DataFrame:
         """Confirmed links (a, b) that leave every component whole."""
         rows = self.classes.select("cid", F.posexplode(F.slice("mins", 1, TREES)).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "cid")
         nodes = common.materialise(_nodes(rows), "nodes")
-        candidates, links = [], []
+        members = common.materialise(rows.join(nodes, "node").select("node", "cid", "size"), "members")
+        sets = self.sets_of(members.select("cid").distinct())
+        small, links, left = [], [], None
         for level in range(LEVELS + 1):
-            candidates.append(common.materialise(self.small_pairs(rows, nodes), "pairs"))
-            large = nodes.where(F.col("size") > SMALL).select("node")
-            if large.isEmpty():
+            small.append(members.where(F.col("size") <= SMALL).select("node", "cid"))
+            forest = self.small_pairs(small[-1].withColumn("root", F.col("cid")), True)
+            links.append(common.materialise(self.confirmed(forest, sets), "links"))
+            if nodes.where(F.col("size") > SMALL).isEmpty():
                 break
-            members = common.materialise(rows.join(large, "node").select("node", "cid"), "members")
-            if level < LEVELS:
-                pivots = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "cid"), "cid"))["cid"].alias("pivot"))
-                star = self.likely(members.join(pivots, "node").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
-                star = common.materialise(star.distinct(), "star")
-                links.append(common.materialise(self.confirmed(star, self.sets_of(star)), "links"))
-            labelled = members.withColumn("root", F.col("cid"))
-            if links:
-                roots = common.components(self._all(links))
-                labelled = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("node", "cid", F.coalesce("root", "cid").alias("root"))
-            labelled = common.materialise(labelled, "labelled")
-            mixed = labelled.groupBy("node").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("node")
-            rest = labelled.join(mixed, "node")
+            large = members.where(F.col("size") > SMALL).select("node", "cid")
+            star = self.likely(large.join(self.pivots(large), "node").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
+            links.append(common.materialise(self.confirmed(star, sets), "links"))
+            strays = self.stray_pairs(self.mixed(self.labelled(large, links)))
+            links.append(common.materialise(self.confirmed(self.likely(strays), sets), "links"))
+            rest = self.labelled(large, links)
+            sizes = rest.groupBy("node", "root").count().groupBy("node").agg((F.sum("count") - F.max("count")).alias("out"))
+            rest = common.materialise(rest.join(sizes, "node").where("out > 0"), "mixed")
+            links.append(common.materialise(self.confirmed(self._across(rest.where(F.col("out") <= FEW)), sets), "links"))
+            rest = rest.where(F.col("out") > FEW).select("node", "cid", "root")
             if level == LEVELS:
-                candidates.append(common.materialise(self._across(rest), "pairs"))
+                left = rest
                 break
-            pick = [(F.pmod(F.xxhash64("node", F.lit(level), F.lit(j)), F.lit(POOL - TREES)) + TREES + 1).cast("int") for j in range(BRANCHES)]
+            pick = lambda j: (F.pmod(F.xxhash64("node", F.lit(level), F.lit(j)), F.lit(POOL - TREES)) + TREES + 1).cast("int")  # noqa: B023, E731
             tokens = rest.join(self.classes.select("cid", "mins"), "cid")
-            child = F.explode(F.array_distinct(F.array(*[F.xxhash64("node", p, F.element_at("mins", p)) for p in pick])))
-            rows = common.materialise(tokens.select(child.alias("node"), "cid"), "rows")
+            child = lambda p: F.xxhash64("node", p, F.element_at("mins", p))
+            # 4/3 branches on average, the reciprocal of the threshold
+            second = F.when(F.pmod(F.xxhash64("node", F.lit("second")), F.lit(3)) == 0, child(pick(1)))
+            rows = common.materialise(tokens.select(F.explode(F.array_compact(F.array_distinct(F.array(child(pick(0)), second)))).alias("node"), "cid"), "rows")
             nodes = common.materialise(_nodes(rows), "nodes")
-        pairs = common.materialise(self._all(candidates).groupBy("a", "b").agg(F.max("first").alias("first")), "pairs")
-        sets = self.sets_of(pairs)
-        links.append(common.materialise(self.confirmed(pairs.where("first").select("a", "b"), sets), "links"))
-        roots = common.materialise(common.components(self._all(links)), "roots")
-        other = pairs.where("not first").select("a", "b")
-        for e in ("a", "b"):
-            other = other.join(roots.select(F.col("node").alias(e), F.col("root").alias(f"root_{e}")), e, "left").withColumn(f"root_{e}", F.coalesce(f"root_{e}", e))
-        other = common.materialise(other.where("root_a != root_b").select("a", "b"), "pairs")
-        if not other.isEmpty():
-            links.append(common.materialise(self.confirmed(other, sets), "links"))
+            members = common.materialise(rows.join(nodes, "node").select("node", "cid", "size"), "members")
+        roots = common.materialise(common.components(self._all(links)).withColumnRenamed("node", "cid"), "roots")
+        again = self._all(small).join(roots, "cid", "left").select("node", "cid", F.coalesce("root", "cid").alias("root"))
+        links.append(common.materialise(self.confirmed(self.small_pairs(self.mixed(again), False), sets), "links"))
+        if left is not None:
+            links.append(common.materialise(self.confirmed(self._across(left), sets), "links"))
         return self._all(links)
 
     @staticmethod
@@ -261,7 +300,7 @@ class _Join:
         largest = sizes.groupBy("node").agg(F.max(F.struct("count", "root"))["root"].alias("top"))
         minor = rest.join(largest, "node").where("root != top").select("node", F.col("cid").alias("a"), F.col("root").alias("root_a"))
         both = minor.join(rest.select("node", F.col("cid").alias("b"), F.col("root").alias("root_b")), "node").where("root_a != root_b")
-        return self.likely(both.select("a", "b")).withColumn("first", F.lit(False))
+        return self.likely(both.select("a", "b"))
 
     def result(self) -> DataFrame:
         roots = common.components(self.edges())

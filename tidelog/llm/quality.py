@@ -182,4 +182,4 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             for b in common.small_batches(whole, at):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(_vectors(b, at)))], [*b.schema.names, column])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return common.map_arrow(docs, run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
