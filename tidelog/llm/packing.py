@@ -77,7 +77,7 @@ class WordTokenizer:
             else:
                 ps = (w,)
             need.update(ps)
-        new = list(need - ids.keys())
+        new = list(need.difference(ids))
         ids.update(zip(new, self.encode(new)))
         for w, ps in split.items():
             ids[w] = b"".join([ids[p] for p in ps])
@@ -93,7 +93,7 @@ class WordTokenizer:
                 whole.append(i)
             else:
                 split[i] = t.replace(" ", "\0 ").split("\0")
-        unknown = set().union(*split.values()) - self.ids.keys()
+        unknown = set().union(*split.values()).difference(self.ids)
         if unknown:
             self.learn(unknown)
         get = self.ids.__getitem__

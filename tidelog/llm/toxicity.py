@@ -69,7 +69,7 @@ class Gains:
     def vector(self, ws: list[bytes]) -> list[float]:
         """What the regression sees of a text."""
         known = self.known
-        for w in set(ws) - known.keys():
+        for w in set(ws).difference(known):
             known[w] = self._gain(w)
         r = np.fromiter(map(known.__getitem__, ws), float, len(ws)) if ws else np.zeros(1)
         if len(known) > KEEP:
