@@ -26,8 +26,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def data():
     return DATA
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples."""
-    return sorted((tuple(r[c] for c in (columns or df.columns)) for r in df.collect()), key=repr)

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tidelog.operators.merge import InvalidArgument
 from tidelog.plans import oplog
