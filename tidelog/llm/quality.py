@@ -174,7 +174,8 @@ def score_features(feats: DataFrame, model: Model) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with a column of scores."""
+    """docs with a column of scores, in place of one of its name."""
+    docs = docs.drop(column)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
