@@ -42,7 +42,7 @@ def lzw_codes(data: bytes, bits: int) -> list[int]:
     """The codes of a stream, clear and end codes included."""
     clear = 1 << bits
     first = clear + 2
-    codes, add = [clear], None
+    codes = [clear]
     add = codes.append
     table: dict[int, int] = {}
     get, free = table.get, first
@@ -81,49 +81,60 @@ def pack_codes(codes: list[int], bits: int) -> bytes:
 
 
 def unlzw(stream: bytes, bits: int, most: int) -> bytes:
-    """The indices of a code stream, at most `most`."""
+    """The indices of a code stream, at most `most`.
+
+    Up to the next clear code the places of the codes are known beforehand, so they are cut out of the stream at once.
+    """
     clear, first = 1 << bits, (1 << bits) + 2
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     total = len(stream) * 8
     widths, offsets = _WIDTHS[bits], _OFFSETS[bits]
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
-    at, done, full, have, prev, table = 0, False, False, 0, None, roots.copy()
+    put = out.append
+    at, done, full, prev, table = 0, False, False, None, roots.copy()
     while not done and at < total:
-        where = at + (np.arange(TOP) * 12 if full else offsets[:TOP])
-        w = 12 if full else widths[:TOP]
-        ok = where + w <= total
-        where, w = where[ok], (12 if full else w[ok])
-        if not len(where):
+        n = min(TOP, (total - at) // (12 if full else bits + 1) + 1)
+        where = at + (np.arange(n) * 12 if full else offsets[:n])
+        w = np.full(n, 12) if full else widths[:n]
+        n = int(np.searchsorted(where + w, total, "right"))
+        where, w = where[:n], w[:n]
+        if not n:
             break
         b = where >> 3
         codes = ((raw[b] | raw[b + 1] << 8 | raw[b + 2] << 16) >> (where & 7)) & ((1 << w) - 1)
         stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
-        n = int(stop[0]) if len(stop) else len(codes)
-        for c in codes[:n].tolist():
-            if prev is None:
-                s = table[c]
-            else:
-                if c < len(table):
+        ended = len(stop) > 0
+        held = codes[: int(stop[0]) if ended else n].tolist()
+        try:
+            if prev is None and held:
+                prev = table[held.pop(0)]
+                put(prev)
+            room = TOP - len(table)
+            add = table.append
+            for c in held[:room]:
+                try:
                     s = table[c]
-                elif c == len(table) and c < TOP:
+                except IndexError:
+                    if c != len(table):
+                        raise
                     s = prev + prev[:1]
-                else:
-                    raise ValueError("a GIF code stream holds a code that is not in its table")
-                if len(table) < TOP:
-                    table.append(prev + s[:1])
-            out.append(s)
-            have += len(s)
-            prev = s
-        if len(stop):
-            done = bool(codes[n] == clear + 1) or have >= most
-            at = int(where[n]) + (12 if full else int(w[n]))
+                add(prev + s[:1])
+                put(s)
+                prev = s
+            out += [table[c] for c in held[room:]]
+        except IndexError as e:
+            raise ValueError("a GIF code stream holds a code that is not in its table") from e
+        if ended:
+            k = int(stop[0])
+            done = bool(codes[k] == clear + 1)
+            at = int(where[k] + w[k])
             full, prev, table = False, None, roots.copy()
         else:
-            at = int(where[-1]) + 12
-            full = True
-            if len(codes) < TOP:
+            at = int(where[-1] + w[-1])
+            if n < TOP:
                 break
+            full = True
     return b"".join(out)[:most]
 
 
