@@ -222,13 +222,13 @@ class _Join:
         agreeing = tokens.join(often, ["node", "at", "token"]).groupBy("node", "cid").count()
         return agreeing.groupBy("node").agg(F.max(F.struct("count", "cid"))["cid"].alias("pivot"))
 
-    def labelled(self, members: DataFrame, links: list[DataFrame], hops: int = 4) -> DataFrame:
+    @staticmethod
+    def labelled(members: DataFrame, links: DataFrame, hops: int = 3) -> DataFrame:
         """members with root: the least class within some links of each, one for all around a pivot and its neighbours."""
-        links = self._all(links)
         loops = links.select(F.explode(F.array("a", "b")).alias("a")).distinct().select("a", F.col("a").alias("b"))
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(loops)
-        label = loops.select("a", F.col("b").alias("m"))
-        for _ in range(hops):
+        both = common.materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(loops), "near")
+        label = both.groupBy("a").agg(F.min("b").alias("m"))
+        for _ in range(hops - 1):
             label = both.join(label.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
         return common.materialise(members.join(label.withColumnRenamed("a", "cid"), "cid", "left").select("node", "cid", F.coalesce("m", "cid").alias("root")), "labelled")
 
@@ -249,43 +249,48 @@ class _Join:
     def edges(self) -> DataFrame:
         """Confirmed links (a, b) that leave every component whole."""
         rows = self.classes.select("cid", F.posexplode(F.slice("mins", 1, TREES)).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "cid")
-        nodes = common.materialise(_nodes(rows), "nodes")
-        members = common.materialise(rows.join(nodes, "node").select("node", "cid", "size"), "members")
+        members = self.members(rows)
         sets = self.sets_of(members.select("cid").distinct())
-        small, links, left = [], [], None
+        # links so far; candidates that wait for the next confirmation; members of small nodes
+        links, waiting, small = None, [], []
+
+        def confirm(pairs: DataFrame) -> DataFrame:
+            found = self.confirmed(pairs.distinct(), sets)
+            return common.materialise((found if links is None else found.unionByName(links)).distinct(), "links")
+
         for level in range(LEVELS + 1):
             small.append(members.where(F.col("size") <= SMALL).select("node", "cid"))
-            forest = self.small_pairs(small[-1].withColumn("root", F.col("cid")), True)
-            links.append(common.materialise(self.confirmed(forest, sets), "links"))
-            if nodes.where(F.col("size") > SMALL).isEmpty():
-                break
+            waiting.append(self.small_pairs(small[-1].withColumn("root", F.col("cid")), True))
             large = members.where(F.col("size") > SMALL).select("node", "cid")
+            if large.isEmpty():
+                break
             star = self.likely(large.join(self.pivots(large), "node").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
-            links.append(common.materialise(self.confirmed(star, sets), "links"))
-            strays = self.stray_pairs(self.mixed(self.labelled(large, links)))
-            links.append(common.materialise(self.confirmed(self.likely(strays), sets), "links"))
+            links = confirm(self._all([*waiting, star]))
+            links = confirm(self.likely(self.stray_pairs(self.mixed(self.labelled(large, links)))))
             rest = self.labelled(large, links)
-            sizes = rest.groupBy("node", "root").count().groupBy("node").agg((F.sum("count") - F.max("count")).alias("out"))
-            rest = common.materialise(rest.join(sizes, "node").where("out > 0"), "mixed")
-            links.append(common.materialise(self.confirmed(self._across(rest.where(F.col("out") <= FEW)), sets), "links"))
+            out = rest.groupBy("node", "root").count().groupBy("node").agg((F.sum("count") - F.max("count")).alias("out"))
+            rest = common.materialise(rest.join(out, "node").where("out > 0"), "mixed")
+            # beyond the last level this is exact for whatever is left
+            waiting = [self._across(rest if level == LEVELS else rest.where(F.col("out") <= FEW))]
             rest = rest.where(F.col("out") > FEW).select("node", "cid", "root")
-            if level == LEVELS:
-                left = rest
+            if level == LEVELS or rest.isEmpty():
                 break
             pick = lambda j: (F.pmod(F.xxhash64("node", F.lit(level), F.lit(j)), F.lit(POOL - TREES)) + TREES + 1).cast("int")  # noqa: B023, E731
-            tokens = rest.join(self.classes.select("cid", "mins"), "cid")
             child = lambda p: F.xxhash64("node", p, F.element_at("mins", p))
             # 4/3 branches on average, the reciprocal of the threshold
             second = F.when(F.pmod(F.xxhash64("node", F.lit("second")), F.lit(3)) == 0, child(pick(1)))
+            tokens = rest.join(self.classes.select("cid", "mins"), "cid")
             rows = common.materialise(tokens.select(F.explode(F.array_compact(F.array_distinct(F.array(child(pick(0)), second)))).alias("node"), "cid"), "rows")
-            nodes = common.materialise(_nodes(rows), "nodes")
-            members = common.materialise(rows.join(nodes, "node").select("node", "cid", "size"), "members")
-        roots = common.materialise(common.components(self._all(links)).withColumnRenamed("node", "cid"), "roots")
+            members = self.members(rows)
+        links = confirm(self._all(waiting))
+        roots = common.components(links).withColumnRenamed("node", "cid")
         again = self._all(small).join(roots, "cid", "left").select("node", "cid", F.coalesce("root", "cid").alias("root"))
-        links.append(common.materialise(self.confirmed(self.small_pairs(self.mixed(again), False), sets), "links"))
-        if left is not None:
-            links.append(common.materialise(self.confirmed(self._across(left), sets), "links"))
-        return self._all(links)
+        return confirm(self.small_pairs(self.mixed(common.materialise(again, "again")), False))
+
+    @staticmethod
+    def members(rows: DataFrame) -> DataFrame:
+        """node, cid and size of the nodes that are to be looked at."""
+        return common.materialise(rows.join(_nodes(rows), "node").select("node", "cid", "size"), "members")
 
     @staticmethod
     def _all(frames: list[DataFrame]) -> DataFrame:
