@@ -130,3 +130,11 @@ def test_language_model_edges(docs):
     assert rows(out, "doc_id", "n_tokens") == sorted([(None, 2), (7, 2), (7, 2)], key=repr)
     only = language_model.score(docs(["a b"]), F.lit(True)).first()
     assert (only["n_known"], only["train_tokens"], only["base_score"], only["score"]) == (0, 0, 0.0, 0.0)
+
+
+def test_the_word_before_counts_itself(docs):
+    """Words that end alike, so are of one class, but are followed by different words."""
+    train = [(i, f"ab{i % 2}xyz " + ("left" if i % 2 else "right")) for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(400, 600) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    by = {r["doc_id"]: r["score"] for r in lm(docs([*train, (held[0], "ab1xyz left"), (held[1], "ab1xyz right")])).collect()}
+    assert by[held[0]] > by[held[1]] + 1
