@@ -115,6 +115,21 @@ def test_near_duplicates_in_large_nodes(docs, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(pairs)).collect()} == brute.components(pairs)
 
 
+def test_pairs_at_the_threshold_in_large_nodes(docs, monkeypatch):
+    """Pairs at 0.75 to 0.8 among documents that share most of their text, so that nodes stay large through all levels."""
+    rng = random.Random(11)
+    passage, texts = prose(rng, 144), []
+    for _ in range(150):
+        both = prose(rng, 7)
+        texts += [f"{passage} {both} {prose(rng, 20)}" for _ in range(2)]
+    monkeypatch.setattr(near_dup, "SMALL", 8)
+    pairs = list(enumerate(texts))
+    want = brute.components(pairs)
+    near = [len(x & y) / len(x | y) for x, y in zip(map(brute.shingles, texts[::2]), map(brute.shingles, texts[1::2]))]
+    assert all(0.75 <= s < 0.8 for s in near) and len(set(want.values())) == 150
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(pairs)).collect()} == want
+
+
 def test_near_duplicates_of_nothing(docs):
     assert near_dup.near_duplicates(docs([])).count() == 0
     out = near_dup.near_duplicates(docs([(5, None), (6, ""), (7, "a b"), (7, "a b"), (None, "a b")]))

@@ -10,8 +10,10 @@ such links are joined, every pair that they leave apart. Nodes with the same mem
 A larger node is compared with one pivot first, the member nearest to its most frequent tokens; members that stay out
 of a component which has half of the node then meet TRIES members of it, and FEW or fewer that still stay out meet all.
 Where confirmed links make the members one component, or those few are through, the node is done; else it branches
-again, into 4/3 children on average, on tokens that it chooses. What is still large after LEVELS is compared across its components directly, which is exact
-and never more than the members outside the largest one times all. So a large group of near copies costs a few
+again, into BRANCHES children, on tokens that it chooses among those that no tree starts with: a pair at 0.75 whose nodes
+all stay large is in no common one at the end with probability 2e-6 after one further level, 7e-6 after LEVELS. What is
+still large after LEVELS is compared across its components directly, which is exact and never more than the members
+outside the largest one times all. So a large group of near copies costs a few
 comparisons for each member and tree, no step gathers a group that is not small, and nothing is capped or sampled.
 
 Only ids and sketches are shuffled for the search; texts of classes in some candidate pair are read again for their
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 from tidelog.llm import common
 
 WORDS, PERCENT = 5, 75
-TREES, POOL, LEVELS, SMALL, TRIES, FEW = 10, 24, 4, 200, 4, 16
+TREES, POOL, BRANCHES, LEVELS, SMALL, TRIES, FEW = 10, 34, 3, 4, 200, 4, 16
+#: Tokens that pivots are chosen by.
+FREQUENT = 14
 BINS, MAYBE = 256, 0.63
 BIN_BITS = 8
 
@@ -217,7 +221,7 @@ class _Join:
     def pivots(self, members: DataFrame) -> DataFrame:
         """node and pivot: the member that agrees with the most frequent tokens of its node in most orders, so that
         copies which are similar to their origin only, not to each other, meet in it."""
-        tokens = members.join(self.classes.select("cid", F.slice("mins", TREES + 1, POOL - TREES).alias("mins")), "cid").select("node", "cid", F.posexplode("mins").alias("at", "token"))
+        tokens = members.join(self.classes.select("cid", F.slice("mins", TREES + 1, FREQUENT).alias("mins")), "cid").select("node", "cid", F.posexplode("mins").alias("at", "token"))
         often = tokens.groupBy("node", "at", "token").count().groupBy("node", "at").agg(F.max(F.struct("count", "token"))["token"].alias("token"))
         agreeing = tokens.join(often, ["node", "at", "token"]).groupBy("node", "cid").count()
         return agreeing.groupBy("node").agg(F.max(F.struct("count", "cid"))["cid"].alias("pivot"))
@@ -277,10 +281,8 @@ class _Join:
                 break
             pick = lambda j: (F.pmod(F.xxhash64("node", F.lit(level), F.lit(j)), F.lit(POOL - TREES)) + TREES + 1).cast("int")  # noqa: B023, E731
             child = lambda p: F.xxhash64("node", p, F.element_at("mins", p))
-            # 4/3 branches on average, the reciprocal of the threshold
-            second = F.when(F.pmod(F.xxhash64("node", F.lit("second")), F.lit(3)) == 0, child(pick(1)))
             tokens = rest.join(self.classes.select("cid", "mins"), "cid")
-            rows = common.materialise(tokens.select(F.explode(F.array_compact(F.array_distinct(F.array(child(pick(0)), second)))).alias("node"), "cid"), "rows")
+            rows = common.materialise(tokens.select(F.explode(F.array_distinct(F.array(*[child(pick(j)) for j in range(BRANCHES)]))).alias("node"), "cid"), "rows")
             members = self.members(rows)
         links = confirm(self._all(waiting))
         roots = common.components(links).withColumnRenamed("node", "cid")
