@@ -111,6 +111,17 @@ def test_op1_columns(spark, data):
         assert (r["payload_bytes"], r["tail_crc32"]) == (len(want), zlib.crc32(want[-16:]))
 
 
+def test_gif_feature_is_of_all_frames(spark, docs, tmp_path):
+    """Long texts of one length that differ before their last frame only."""
+    end = "the same end " * 1000
+    docs(["a" * 20_000 + end, "b" * 20_000 + end]).write.parquet(str(tmp_path / "documents.parquet"))
+    a, b = llm.op1_gif(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert a["feature"] != b["feature"] and a["payload_bytes"] == b["payload_bytes"]
+    frames = gif.decode(gif.store(docs(["a" * 20_000 + end]))).first()["frames"]
+    sums = [sum(x) for x in zip(*[f["histogram"] for f in frames])]
+    assert len(frames) > 1 and a["feature"].endswith("hist=" + ",".join(map(str, sums)))
+
+
 def reference_ids(texts):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True

@@ -20,7 +20,10 @@ def remainder(column: str, n: int) -> F.Column:
 def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = gif.decode(gif.store(table(spark, sf_dir, "documents")))
     shown = F.element_at("frames", -1)
-    feature = F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("ms="), shown["start_ms"] + shown["delay_ms"]), F.concat(F.lit("hist="), F.concat_ws(",", shown["histogram"])))
+    # of each colour, the pixels of all frames as each shows them
+    bins = F.sequence(F.lit(0), F.size(shown["histogram"]) - 1)
+    histogram = F.transform(bins, lambda i: F.aggregate("frames", F.lit(0).cast("long"), lambda s, f: s + f["histogram"][i]))
+    feature = F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("ms="), shown["start_ms"] + shown["delay_ms"]), F.concat(F.lit("hist="), F.concat_ws(",", histogram)))
     return out.select(
         "doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
