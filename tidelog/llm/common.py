@@ -181,21 +181,19 @@ def group_bounds(keys: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)] if len(keys) else np.zeros(1, np.int64)
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for every node of the edges (a, b), by alternating large and
-    small stars. Each step is an aggregation and a join on it, so a hub's edges may be split over tasks."""
+    small stars until nothing changes. Each step is an aggregation and a join on it, so a hub's edges may be split over
+    tasks."""
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     nodes = now.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    mark = None
-    for _ in range(most):
+    mark, seen = None, ()
+    while mark != seen:
         sym = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = sym.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
         now = materialise(small, "stars")
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if seen == mark:
-            break
-        mark = seen
+        mark, seen = seen, tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     return nodes.join(now.withColumnsRenamed({"a": "node", "b": "root"}), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -1,23 +1,25 @@
 """Near-duplicates by a chosen-path set similarity join on MinHash tokens.
 
 A document's set holds its distinct five-word shingles. Equal sets become one class. A tree starts with all classes
-and branches them by the value of a minwise token that the node chooses; TREES independent trees do so, each pair at
-similarity s staying together in one with probability s at the first branching ((1 - s) ** 10, under 1e-6, is missed at
-0.75 over the trees). A node of at most SMALL classes is compared exhaustively on 256-byte sketches (estimates 0.1 below
-the threshold pass): first a spanning forest of its most similar members is confirmed on the full sets, and once all
-such links are joined, every pair that they leave apart. Nodes with the same members count once.
-
-A larger node is compared with one pivot first, the member nearest to its most frequent tokens; members that stay out
-of a component which has half of the node then meet TRIES members of it, and FEW or fewer that still stay out meet all.
-Where confirmed links make the members one component, or those few are through, the node is done; else it branches
-again, into BRANCHES children, on tokens that it chooses among those that no tree starts with: a pair at 0.75 whose nodes
-all stay large is in no common one at the end with probability 2e-6 after one further level, 7e-6 after LEVELS. What is
-still large after LEVELS is compared across its components directly, which is exact and never more than the members
-outside the largest one times all. So a large group of near copies costs a few
-comparisons for each member and tree, no step gathers a group that is not small, and nothing is capped or sampled.
-
-Only ids and sketches are shuffled for the search; texts of classes in some candidate pair are read again for their
-sets, which are dealt by class.
+and branches them by the value of its minwise token; TREES independent trees do so, and each pair at similarity s stays
+together in one with probability s: (1 - 0.75) ** 10, under 1e-6, is missed by all.
+
+A node of at most SMALL classes is compared exhaustively on 256-byte sketches. Members that may reach the threshold
+(estimates 0.12 below it pass, over four deviations) form groups; groups that several trees find count once. All pairs
+of a group are compared on the full sets, but for those that confirmed links have joined already.
+
+A larger node first meets a pivot, the member nearest to its most frequent tokens: members that may be similar to it
+form groups with it, of about BLOCK members each, which are compared on the full sets, and those that links join to the
+pivot count as anchored to it. Where all are anchored, the node is done; where FEW or fewer are not, each of these is a
+pivot as well. Any other branches again, into BRANCHES children, by minwise tokens that it takes from the sketches;
+children whose members are all anchored to one pivot are left out. A pair at 0.75 survives LEVELS levels in a tree with
+probability 0.75 * 0.89 at least, so ten trees miss it with 2e-5 at most. What is large even then holds members that are
+nearly as similar as near-duplicates; it is compared exhaustively too, in pairs of blocks, one task for each. So a large
+group of near copies costs some comparisons for each member, tree and level, no step gathers a group that is not small,
+and nothing is capped or sampled.
+
+Only ids and sketches are shuffled for the search; texts of the classes in some group are read again for their sets,
+which go to each of these groups once.
 
 Defined cases: null and wordless texts have empty sets, link with nothing and are kept; texts under five words have
 one shingle, the whole sequence; repeated rows are linked; rows that share a doc_id stay or go together if they are
@@ -37,14 +39,18 @@ from pyspark.sql import functions as F
 from tidelog.llm import common
 
 WORDS, PERCENT = 5, 75
-TREES, POOL, BRANCHES, LEVELS, SMALL, TRIES, FEW = 10, 34, 3, 4, 200, 4, 16
-#: Tokens that pivots are chosen by.
-FREQUENT = 14
+TREES, BRANCHES, SMALL, FEW, BLOCK = 10, 2, 4096, 8, 512
+#: Shingles that weigh as much as one more class, where the size of a node or group is measured.
+SHINGLES = 2048
 BINS, MAYBE = 256, 0.63
 BIN_BITS = 8
+#: Levels of branching after the first; each shrinks nodes by the similarity of their members.
+LEVELS = 4
+#: Classes whose texts are found by a broadcast of their keys (some 40 bytes each); beyond it by a shuffle.
+BROADCAST = 200_000
 
 with np.errstate(over="ignore"):
-    _ODD = common.mix64(np.arange(1, POOL + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+    _ODD = common.mix64(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BIN_BITS)
 
 
@@ -65,22 +71,22 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
-    """The least hash of the set under each of POOL orders."""
+    """The least hash of the set under the order of each tree."""
     return np.array([(s * m).min() for m in _ODD], np.uint64).view(np.int64)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in common.small_batches(whole, 1):
+        for b in common.small_batches(whole, 2):
             cols: tuple[list, ...] = ([], [], [], [], [])
-            for t in common.blobs(b.column(1)):
+            for t in common.blobs(b.column(2)):
                 s = shingle_set(t)
                 h = xxhash.xxh3_128_digest(s.tobytes())
                 row = (len(s), int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), sketch(s) if len(s) else None, minwise(s).tolist() if len(s) else None)
                 for c, v in zip(cols, row):
                     c.append(v)
-            arrays = [b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "h1", "h2", "sketch", "mins"])
+            arrays = [b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "h1", "h2", "sketch", "mins"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,224 +103,262 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
 
+def _rows_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
 def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Estimated similarity of rows of sketches (which broadcast)."""
-    same = ((x == y) & (x > 0)).sum(axis=-1)
-    return same / np.maximum(((x > 0) | (y > 0)).sum(axis=-1), 1)
+    same = np.count_nonzero((x == y) & (x > 0), axis=-1)
+    return same / np.maximum(np.count_nonzero(x | y, axis=-1), 1)
+
+
+class _Sketches:
+    """Sketches of some classes in the order of their numbers of shingles, to be compared with one another."""
+
+    def __init__(self, n: np.ndarray, sk: np.ndarray) -> None:
+        self.sk = sk
+        self.end = np.searchsorted(PERCENT * n, 100 * n, side="right")  # where the classes that may be similar end
+        self.filled, self.low = (np.packbits(x, axis=1).view(np.uint64) for x in (sk > 0, sk & 1))
+
+    def near(self, i: int, labels: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those after i with another label whose estimated similarity is not under least, and the estimates."""
+        w = slice(i + 1, self.end[i])
+        # equal low bits where both are filled: no estimate is larger
+        most = np.bitwise_count(~(self.low[w] ^ self.low[i]) & self.filled[w] & self.filled[i]).sum(axis=1, dtype=np.int64)
+        j = i + 1 + np.flatnonzero((most >= least * np.bitwise_count(self.filled[w] | self.filled[i]).sum(axis=1, dtype=np.int64)) & (labels[w] != labels[i]))
+        if not len(j):
+            return j, np.empty(0)
+        est = _similar(self.sk[i], self.sk[j])
+        return j[est >= least], est[est >= least]
+
+
+def likely_parts(n: np.ndarray, sk: np.ndarray) -> list[np.ndarray]:
+    """Of classes in the order of n: those which pairs that may reach the threshold connect, as lists of places."""
+    labels, all_of = np.arange(len(n)), _Sketches(n, sk)
+    for i in range(len(n) - 1):
+        j, _ = all_of.near(i, labels, MAYBE)
+        if len(j):
+            labels[np.isin(labels, labels[j])] = labels[i]
+    order = np.argsort(labels, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(labels[order])) + 1)
+    return [p for p in parts if len(p) > 1]
+
+
+def _groups_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (node, cid, n, sketch), whole nodes in the order of n: groups and their classes. A group is named by its members."""
+    for t in common.whole_groups(batches, "node"):
+        node, cid, n = (t.column(c).to_numpy() for c in ("node", "cid", "n"))
+        sk = _rows_of(t.column("sketch"))
+        bounds = common.group_bounds(node)
+        gids, cids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            for part in likely_parts(n[lo:hi], sk[lo:hi]):
+                own = cid[lo:hi][part]
+                name = np.bitwise_xor.reduce(common.mix64(own.view(np.uint64) + np.uint64(1)))
+                gids.append(np.full(len(own), name).view(np.int64))
+                cids.append(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gids)), pa.array(np.concatenate(cids))], ["gid", "cid"])
+
+
+def reaches(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < PERCENT * len(y):
+        return False
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def confirmed(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Of sets in the order of their sizes: links that join all which pairs at the threshold or above it connect."""
+    if len(sets) == 2:
+        return [(0, 1)] if reaches(*sets) else []
+    labels, all_of = np.arange(len(sets)), _Sketches(np.array([len(s) for s in sets]), np.frombuffer(b"".join([sketch(s) for s in sets]), np.uint8).reshape(-1, BINS))
+    out = []
+    for least in ((PERCENT + 5) / 100, MAYBE):  # what is linked almost certainly comes first, and spares other pairs
+        for i in range(len(sets) - 1):
+            j, est = all_of.near(i, labels, least)
+            for k in j[np.argsort(-est, kind="stable")].tolist():
+                if labels[k] != labels[i] and reaches(sets[i], sets[k]):
+                    out.append((i, k))
+                    labels[labels == labels[k]] = labels[i]
+    return out
 
 
-def _size_fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (gid, cid, n, shingles), whole groups in the order of n: confirmed links."""
+    for t in common.whole_groups(batches, "gid"):
+        cid, blobs = t.column("cid").to_numpy(), t.column("shingles").to_pylist()
+        bounds = common.group_bounds(t.column("gid").to_numpy())
+        a, b = [], []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if hi - lo > 1:
+                found = confirmed([np.frombuffer(x, np.uint64) for x in blobs[lo:hi]])
+                a += [min(int(cid[lo + i]), int(cid[lo + j])) for i, j in found]
+                b += [max(int(cid[lo + i]), int(cid[lo + j])) for i, j in found]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _compare_small(forest: bool):
-    """Candidate pairs (a, b) of sorted whole nodes: a spanning forest of the most similar members, or all pairs of
-    different roots."""
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (gid, node, pivot, cid, n, shingles), whole groups in the order of n: the members that links join to the pivot."""
+    for t in common.whole_groups(batches, "gid"):
+        node, pivot, cid = (t.column(c).to_numpy() for c in ("node", "pivot", "cid"))
+        blobs = t.column("shingles").to_pylist()
+        bounds = common.group_bounds(t.column("gid").to_numpy())
+        held = np.zeros(len(cid), bool)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            labels = np.arange(lo, hi)
+            for i, j in confirmed([np.frombuffer(x, np.uint64) for x in blobs[lo:hi]]) if hi - lo > 1 else ():
+                labels[labels == labels[j]] = labels[i]
+            held[lo:hi] = labels == labels[np.flatnonzero(cid[lo:hi] == pivot[lo:hi])[0]]
+        yield pa.RecordBatch.from_arrays([pa.array(x[held]) for x in (node, cid, pivot)], ["node", "cid", "anchor"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in common.whole_groups(batches, "node"):
-            node, cid, n, roots = (t.column(c).to_numpy() for c in ("node", "cid", "n", "root"))
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-            bounds = common.group_bounds(node)
-            out_a, out_b = [], []
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                found = []
-                for i in range(lo, hi - 1):
-                    rest = slice(i + 1, hi)
-                    near = i + 1 + np.flatnonzero(_size_fits(n[i], n[rest]) & (roots[rest] != roots[i]))
-                    if len(near):
-                        est = _similar(sk[i], sk[near])
-                        ok = est >= MAYBE
-                        found += zip(est[ok].tolist(), [i] * int(ok.sum()), near[ok].tolist())
-                if forest:
-                    found = _forest(sorted(found, reverse=True), lo, hi)
-                for _, i, j in found:
-                    p, q = int(cid[i]), int(cid[j])
-                    out_a.append(min(p, q))
-                    out_b.append(max(p, q))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    return run
+_NEAR = "node long, cid long, n long, sketch binary, pivot long, similar double, children array<long>"
 
 
-def _forest(pairs: list[tuple[float, int, int]], lo: int, hi: int) -> list[tuple[float, int, int]]:
-    """The pairs that join what those before them have not."""
-    parent = list(range(hi - lo))
-    out = []
-    for est, i, j in pairs:
-        x, y = i - lo, j - lo
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((est, i, j))
-    return out
-
-
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, n_a, n_b, sketch_a, sketch_b): the pairs that may reach the threshold."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
-        ok = (_similar(x, y) >= MAYBE) & _size_fits(b.column(2).to_numpy(), b.column(3).to_numpy())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
+def _near_pivot(level: int):
+    """Of (node, cid, n, sketch, pivot: cid, n, sketch): the estimated similarity of each to its pivot, 0 where sizes
+    rule it out, and the nodes that it goes to if its node branches."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, m = b.column(2).to_numpy(), b.column(5).to_numpy()
+            sk = _rows_of(b.column(3))
+            est = np.where(100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m), _similar(sk, _rows_of(b.column(6))), 0.0)
+            children, node = [], b.column(0).to_numpy().view(np.uint64)
+            for k in range(BRANCHES):
+                with np.errstate(over="ignore"):
+                    name = common.mix64(node + np.uint64(2 * (level * BRANCHES + k) + 1) * np.uint64(0x9E3779B97F4A7C15))
+                # the first filled bin from one that the node chooses holds the token
+                at = (name[:, None] + np.arange(BINS, dtype=np.uint64)) % np.uint64(BINS)
+                first = np.argmax(np.take_along_axis(sk, at.astype(np.intp), 1) > 0, axis=1)
+                bins = at[np.arange(len(at)), first]
+                with np.errstate(over="ignore"):
+                    children.append(common.mix64(name + (bins * np.uint64(256) + sk[np.arange(len(sk)), bins.astype(np.intp)]) * np.uint64(0xD1342543DE82EF95)))
+            flat = pa.array(np.column_stack(children).view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BRANCHES * len(n) + 1, BRANCHES), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(5)], pa.array(est), lists], ["node", "cid", "n", "sketch", "pivot", "similar", "children"])
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, shingles_a, shingles_b): the pairs that reach the threshold on the full sets."""
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        keep = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+    return run
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """node and size of the nodes with two members or more; of nodes with equal members, one."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("size > 1")
-    return sizes.groupBy("size", "x", "y").agg(F.min("node").alias("node")).select("node", "size")
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 class _Join:
     def __init__(self, docs: DataFrame) -> None:
-        self.docs = docs
-        feats = common.map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _features, "doc_id long, n long, h1 long, h2 long, sketch binary, mins array<long>")
-        self.feats = common.materialise(feats, "shingles")
+        #: A row is found again by its id and the hash of its text.
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+        self.feats = common.materialise(common.map_arrow(self.docs, _features, "doc_id long, key long, n long, h1 long, h2 long, sketch binary, mins array<long>"), "shingles")
         full = self.feats.where("n > 0")
-        classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mins").alias("mins"))
+        classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "key")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mins").alias("mins"))
         self.classes = common.materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-        self.short = self.classes.select("cid", "n", "sketch")
-
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b), a < b, that may reach the threshold by their sketches."""
-        ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
-        for e in ("a", "b"):
-            ends = ends.join(self.short.select(F.col("cid").alias(e), F.col("n").alias(f"n_{e}"), F.col("sketch").alias(f"sketch_{e}")), e)
-        return common.map_arrow(ends.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), _likely, "a long, b long")
 
     def sets_of(self, used: DataFrame) -> DataFrame:
-        """cid and shingles of the classes in used, a column of distinct cid."""
-        used = self.classes.select("cid", "low", "h1", "h2").join(used, "cid", "left_semi")
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        found = texts.join(used, F.col("doc_id").eqNullSafe(F.col("low"))).select("cid", "h1", "h2", "text")
+        """cid, n and shingles of the classes in used, a column of distinct cid."""
+        wanted = common.materialise(self.classes.join(used, "cid", "left_semi").select("cid", "n", "h1", "h2", "row"), "wanted")
+        wanted = wanted.select("cid", "h1", "h2", F.col("row.doc_id").alias("row_id"), F.col("row.key").alias("row_key"))
+        if wanted.count() <= BROADCAST:
+            wanted = F.broadcast(wanted)
+        found = self.docs.join(wanted, (F.col("key") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("row_id"))).select("cid", "h1", "h2", "text")
         sets = common.map_arrow(found, _sets, "cid long, shingles binary")
-        return common.materialise(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
-
-    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        for e in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("cid").alias(e), F.col("shingles").alias(f"shingles_{e}")), e)
-        return common.map_arrow(pairs.select("a", "b", "shingles_a", "shingles_b"), _confirm, "a long, b long")
-
-    def small_pairs(self, members: DataFrame, forest: bool) -> DataFrame:
-        """Candidates (a, b) from nodes (node, cid, root) that are compared exhaustively."""
-        rows = members.join(self.short, "cid").select("node", "cid", "root", "n", "sketch").repartition("node").sortWithinPartitions("node")
-        return common.map_arrow(rows, _compare_small(forest), "a long, b long").distinct()
-
-    def pivots(self, members: DataFrame) -> DataFrame:
-        """node and pivot: the member that agrees with the most frequent tokens of its node in most orders, so that
-        copies which are similar to their origin only, not to each other, meet in it."""
-        tokens = members.join(self.classes.select("cid", F.slice("mins", TREES + 1, FREQUENT).alias("mins")), "cid").select("node", "cid", F.posexplode("mins").alias("at", "token"))
-        often = tokens.groupBy("node", "at", "token").count().groupBy("node", "at").agg(F.max(F.struct("count", "token"))["token"].alias("token"))
-        agreeing = tokens.join(often, ["node", "at", "token"]).groupBy("node", "cid").count()
-        return agreeing.groupBy("node").agg(F.max(F.struct("count", "cid"))["cid"].alias("pivot"))
+        return common.materialise(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")).withColumn("n", (F.length("shingles") / 8).cast("long")), "sets")
+
+    @staticmethod
+    def members(rows: DataFrame) -> DataFrame:
+        """Of (node, cid, n, anchor): node, cid and weight of the nodes that are to be looked at; of nodes with equal
+        members, one."""
+        sizes = rows.groupBy("node").agg(
+            F.count("*").alias("size"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"),
+            F.count("anchor").alias("anchored"), F.min("anchor").alias("p"), F.max("anchor").alias("q"),
+        ).where("size > 1 and not (anchored = size and p = q)")
+        one = sizes.groupBy("size", "x", "y").agg(F.min("node").alias("node"), F.first("shingles").alias("shingles"))
+        weight = F.greatest(F.col("size").cast("double"), F.col("shingles") / SHINGLES)
+        return common.materialise(rows.select("node", "cid").join(one.select("node", weight.alias("weight")), "node"), "members")
+
+    def pivots(self, large: DataFrame) -> DataFrame:
+        """node and pivot (cid, n, sketch): the member that agrees with the most frequent tokens of its node in most
+        trees, so that copies which are similar to their origin only, not to each other, meet in it."""
+        counts = large.select("node", F.posexplode("mins").alias("at", "token")).groupBy("node", "at", "token").count()
+        often = counts.groupBy("node", "at").agg(F.max(F.struct("count", "token"))["token"].alias("token"))
+        often = often.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("often"))
+        agree = F.size(F.filter(F.zip_with("mins", "often", lambda x, y: x == y), lambda x: x))
+        return large.join(often, "node").groupBy("node").agg(F.max_by(F.struct("cid", "n", "sketch"), F.struct(agree, "cid")).alias("pivot"))
 
     @staticmethod
-    def labelled(members: DataFrame, links: DataFrame, hops: int = 3) -> DataFrame:
-        """members with root: the least class within some links of each, one for all around a pivot and its neighbours."""
-        loops = links.select(F.explode(F.array("a", "b")).alias("a")).distinct().select("a", F.col("a").alias("b"))
-        both = common.materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(loops), "near")
-        label = both.groupBy("a").agg(F.min("b").alias("m"))
-        for _ in range(hops - 1):
-            label = both.join(label.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
-        return common.materialise(members.join(label.withColumnRenamed("a", "cid"), "cid", "left").select("node", "cid", F.coalesce("m", "cid").alias("root")), "labelled")
+    def stars(near: DataFrame) -> DataFrame:
+        """gid, node, pivot and cid: groups of each pivot and the members that may be similar to it, about BLOCK of them."""
+        near = near.where(F.col("similar") >= MAYBE).where("cid != pivot")
+        sizes = near.groupBy("node", "pivot").agg(F.ceil(F.greatest(F.count("*").cast("double"), F.sum("n") / SHINGLES) / BLOCK).alias("blocks"))
+        dealt = near.join(sizes, ["node", "pivot"]).select(F.xxhash64("node", "pivot", F.pmod(F.xxhash64("cid"), "blocks")).alias("gid"), "node", "pivot", "cid")
+        return dealt.unionByName(dealt.select("gid", "node", "pivot", F.col("pivot").alias("cid")).distinct())
 
     @staticmethod
-    def mixed(labelled: DataFrame) -> DataFrame:
-        """Members of the nodes that hold more than one root."""
-        return labelled.join(labelled.groupBy("node").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("node"), "node")
-
-    def stray_pairs(self, rest: DataFrame) -> DataFrame:
-        """In nodes that one root has half of: each other member with TRIES members of that root."""
-        sizes = rest.groupBy("node", "root").count()
-        top = sizes.groupBy("node").agg(F.max(F.struct("count", "root"))["root"].alias("top"), F.max("count").alias("most"), F.sum("count").alias("size")).where("2 * most >= size").select("node", "top")
-        rest = rest.join(top, "node")
-        tries = [F.min(F.when(F.col("root") == F.col("top"), F.struct(F.xxhash64("cid", "node", F.lit(k)), "cid")))["cid"] for k in range(TRIES)]
-        tries = rest.groupBy("node").agg(F.array_distinct(F.array(*tries)).alias("tries"))
-        return rest.where("root != top").join(tries, "node").select(F.explode("tries").alias("a"), F.col("cid").alias("b"))
-
-    def edges(self) -> DataFrame:
-        """Confirmed links (a, b) that leave every component whole."""
-        rows = self.classes.select("cid", F.posexplode(F.slice("mins", 1, TREES)).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "cid")
-        members = self.members(rows)
-        sets = self.sets_of(members.select("cid").distinct())
-        # links so far; candidates that wait for the next confirmation; members of small nodes
-        links, waiting, small = None, [], []
-
-        def confirm(pairs: DataFrame) -> DataFrame:
-            found = self.confirmed(pairs.distinct(), sets)
-            return common.materialise((found if links is None else found.unionByName(links)).distinct(), "links")
+    def with_sets(groups: DataFrame, sets: DataFrame) -> DataFrame:
+        return groups.join(sets, "cid").repartition("gid").sortWithinPartitions("gid", "n", "cid")
+
+    def branches(self, large: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Of large nodes: links, groups of the few that are far from a pivot, and the rows of the next level."""
+        paired = large.join(self.pivots(large), "node").select("node", "cid", "n", "sketch", F.col("pivot.cid").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.sketch").alias("pivot_sketch"))
+        near = common.materialise(common.map_arrow(paired, _near_pivot(level), _NEAR), "near")
+        stars = self.with_sets(self.stars(near), self.sets).select("gid", "node", "pivot", "cid", "n", "shingles")
+        anchored = common.materialise(common.map_arrow(stars, _anchored, "node long, cid long, anchor long").distinct(), "anchored")
+        near = common.materialise(near.join(anchored, ["node", "cid"], "left"), "strays")
+        counts = near.groupBy("node").agg(F.count_if(F.col("anchor").isNull()).alias("strays"))
+        few = near.where("anchor is null").join(counts.where(F.col("strays") <= FEW), "node").select("node", F.col("cid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
+        met = near.select("node", "cid", "n", "sketch").join(few, "node").select("node", "cid", "n", "sketch", "pivot", "pivot_n", "pivot_sketch")
+        groups = common.materialise(self.stars(common.map_arrow(met, _near_pivot(level), _NEAR)).select("gid", "cid"), "few")
+        rows = near.join(counts.where(F.col("strays") > FEW), "node").select(F.explode(F.array_distinct("children")).alias("node"), "cid", "n", "anchor")
+        return anchored.where("cid != anchor").select(F.col("cid").alias("a"), F.col("anchor").alias("b")), groups, rows
 
+    @staticmethod
+    def in_blocks(large: DataFrame) -> DataFrame:
+        """node and cid: a node for each pair of blocks of a large one, of weight SMALL together."""
+        blocks = F.ceil(2 * F.col("weight") / SMALL).cast("int")
+        rows = large.select("node", "cid", F.pmod(F.xxhash64("cid"), blocks).alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid")
+
+    def links(self) -> DataFrame:
+        """Links (a, b) that join all members of every component, and no others."""
+        rows = self.classes.select("cid", "n", F.posexplode("mins").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "cid", "n", F.lit(None).cast("long").alias("anchor"))
+        small, links, groups = [], [], []
         for level in range(LEVELS + 1):
-            small.append(members.where(F.col("size") <= SMALL).select("node", "cid"))
-            waiting.append(self.small_pairs(small[-1].withColumn("root", F.col("cid")), True))
-            large = members.where(F.col("size") > SMALL).select("node", "cid")
+            members = self.members(rows)
+            small.append(members.where(F.col("weight") <= SMALL).select("node", "cid"))
+            large = members.where(F.col("weight") > SMALL)
             if large.isEmpty():
                 break
-            star = self.likely(large.join(self.pivots(large), "node").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
-            links = confirm(self._all([*waiting, star]))
-            links = confirm(self.likely(self.stray_pairs(self.mixed(self.labelled(large, links)))))
-            rest = self.labelled(large, links)
-            out = rest.groupBy("node", "root").count().groupBy("node").agg((F.sum("count") - F.max("count")).alias("out"))
-            rest = common.materialise(rest.join(out, "node").where("out > 0"), "mixed")
-            # beyond the last level this is exact for whatever is left
-            waiting = [self._across(rest if level == LEVELS else rest.where(F.col("out") <= FEW))]
-            rest = rest.where(F.col("out") > FEW).select("node", "cid", "root")
-            if level == LEVELS or rest.isEmpty():
+            if level == LEVELS:
+                small.append(self.in_blocks(large))
                 break
-            pick = lambda j: (F.pmod(F.xxhash64("node", F.lit(level), F.lit(j)), F.lit(POOL - TREES)) + TREES + 1).cast("int")  # noqa: B023, E731
-            child = lambda p: F.xxhash64("node", p, F.element_at("mins", p))
-            tokens = rest.join(self.classes.select("cid", "mins"), "cid")
-            rows = common.materialise(tokens.select(F.explode(F.array_distinct(F.array(*[child(pick(j)) for j in range(BRANCHES)]))).alias("node"), "cid"), "rows")
-            members = self.members(rows)
-        links = confirm(self._all(waiting))
-        roots = common.components(links).withColumnRenamed("node", "cid")
-        again = self._all(small).join(roots, "cid", "left").select("node", "cid", F.coalesce("root", "cid").alias("root"))
-        return confirm(self.small_pairs(self.mixed(common.materialise(again, "again")), False))
-
-    @staticmethod
-    def members(rows: DataFrame) -> DataFrame:
-        """node, cid and size of the nodes that are to be looked at."""
-        return common.materialise(rows.join(_nodes(rows), "node").select("node", "cid", "size"), "members")
-
-    @staticmethod
-    def _all(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
-    def _across(self, rest: DataFrame) -> DataFrame:
-        """Candidates between the components of nodes that stayed large: members outside the largest against all."""
-        sizes = rest.groupBy("node", "root").count()
-        largest = sizes.groupBy("node").agg(F.max(F.struct("count", "root"))["root"].alias("top"))
-        minor = rest.join(largest, "node").where("root != top").select("node", F.col("cid").alias("a"), F.col("root").alias("root_a"))
-        both = minor.join(rest.select("node", F.col("cid").alias("b"), F.col("root").alias("root_b")), "node").where("root_a != root_b")
-        return self.likely(both.select("a", "b"))
+            large = common.materialise(large.select("node", "cid").join(self.classes.select("cid", "n", "sketch", "mins"), "cid"), "large")
+            if not level:
+                self.sets = self.sets_of(large.select("cid").distinct())
+            found = self.branches(large, level)
+            links.append(found[0])
+            groups.append(found[1])
+            rows = found[2]
+        near = _all(small).join(self.classes.select("cid", "n", "sketch"), "cid").select("node", "cid", "n", "sketch").repartition("node").sortWithinPartitions("node", "n", "cid")
+        found = common.materialise(_all([common.map_arrow(near, _groups_of_nodes, "gid long, cid long"), *groups]).distinct(), "groups")
+        used = found.select("cid").distinct()
+        sets = self.sets_of(used.join(self.sets, "cid", "left_anti")).unionByName(self.sets) if links else self.sets_of(used)
+        rows = self.with_sets(found, sets).select("gid", "cid", "n", "shingles")
+        return _all([common.map_arrow(rows, _links, "a long, b long"), *links])
 
     def result(self) -> DataFrame:
-        roots = common.components(self.edges())
-        classes = self.classes.select("h1", "h2", "cid", "low").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        classes = common.materialise(classes, "roots")
-        lows = classes.groupBy("root").agg(F.min("low").alias("component"))
-        by_class = classes.join(lows, "root").select("h1", "h2", "component")
+        roots = common.components(self.links()).withColumnRenamed("node", "cid")
+        linked = self.classes.join(roots, "cid").select("h1", "h2", "low", "root")
+        joined = linked.join(linked.groupBy("root").agg(F.min("low").alias("component")), "root").select("h1", "h2", "component")
+        by_class = self.classes.select("h1", "h2", "low").join(joined, ["h1", "h2"], "left").select("h1", "h2", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("low")).alias("component"))
         out = self.feats.select("doc_id", "n", "h1", "h2").join(by_class, ["h1", "h2"], "left")
         component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
         return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
