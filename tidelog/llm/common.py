@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,20 +30,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder every executor sees: spark.checkpoint.dir. Where that is unset, a temporary folder if all runs on this
+    machine (it goes when the process ends), else one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _OWN_DIR.setdefault("path", tempfile.mkdtemp(prefix="tidelog-"))
-    return path.rstrip("/")
+    if not path and spark.sparkContext.master.split("[")[0] == "local":
+        if "path" not in _OWN_DIR:
+            _OWN_DIR["path"] = tempfile.mkdtemp(prefix="tidelog-")
+            atexit.register(shutil.rmtree, _OWN_DIR["path"], ignore_errors=True)
+        path = _OWN_DIR["path"]
+    return (path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidelog-scratch").rstrip("/")
+
+
+#: Lets Spark delete the shuffle files of a query when it ends. A query that is run again makes them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, a lost executor costs nothing,
-    and later plans know the true size."""
+    """Write df to the shared folder and read it back: lineage ends there, a lost executor costs nothing, later plans
+    know the true size, and the shuffles behind it take no more disk."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table which nothing that is still to run reads."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
@@ -194,6 +218,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = sym.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
-        now = materialise(small, "stars")
+        before, now = now, materialise(small, "stars")
+        if mark is not None:  # the first table is read again at the end
+            discard(before)
         mark, seen = seen, tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     return nodes.join(now.withColumnsRenamed({"a": "node", "b": "root"}), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -23,7 +23,8 @@ which go to each of these groups once.
 
 Defined cases: null and wordless texts have empty sets, link with nothing and are kept; texts under five words have
 one shingle, the whole sequence; repeated rows are linked; rows that share a doc_id stay or go together if they are
-linked; component_id is null only if no member has a doc_id; other columns are ignored.
+linked; component_id is null only if no member has a doc_id; other columns are ignored. text_key tells rows that share a
+doc_id apart: a row is kept or not with all rows of its doc_id and text_key.
 """
 
 from __future__ import annotations
@@ -359,11 +360,20 @@ class _Join:
         linked = self.classes.join(roots, "cid").select("h1", "h2", "low", "root")
         joined = linked.join(linked.groupBy("root").agg(F.min("low").alias("component")), "root").select("h1", "h2", "component")
         by_class = self.classes.select("h1", "h2", "low").join(joined, ["h1", "h2"], "left").select("h1", "h2", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("low")).alias("component"))
-        out = self.feats.select("doc_id", "n", "h1", "h2").join(by_class, ["h1", "h2"], "left")
+        out = self.feats.select("doc_id", "key", "n", "h1", "h2").join(by_class, ["h1", "h2"], "left")
         component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("key").alias("text_key"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept: a row per row of docs."""
+    """doc_id, n_shingles, component_id, kept and text_key (a hash of the text): a row per row of docs."""
     return _Join(docs).result()
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept. Texts stay where they are while the rows to drop are few enough to broadcast."""
+    dropped = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_key")).distinct()
+    dropped = common.materialise(dropped, "dropped")
+    if dropped.count() <= BROADCAST:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("dropped_id")) & (F.xxhash64("text") == F.col("dropped_key")), "left_anti")
