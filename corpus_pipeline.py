@@ -1,7 +1,8 @@
 """A corpus made ready for training: quality, repeated lines, near-duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns
-of documents, with n_chars brought up to date where the text changes.
+of documents, with n_chars brought up to date where the text changes. Extra columns don't reach the result. Each stage
+states what it does with nulls, empty texts and repeated rows; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,30 +19,35 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is 0.5 or more; labels with crc32(doc_id) mod 3 = 1 stay held out."""
+    """Documents whose score is 0.5 or more; labels with crc32(doc_id) mod 3 = 1 stay held out. Null and empty texts are
+    scored like any other, and without labels of both classes the share of label 1 decides."""
     labels = common.table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     feats = common.materialise(quality.features(docs), "quality")
     return quality.score(docs.select(*COLUMNS), quality.fit(feats, labels)).where("score >= 0.5").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later occurrences of windows of three lines, in the order of doc_id. Every row stays; null texts stay
+    null, and one whose lines all go is empty."""
     out = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component stays."""
-    kept = common.materialise(near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The document with the least doc_id of each component stays, and null and wordless texts, each on its own. Rows
+    with equal doc_id and text are one document; others that share a doc_id are decided one by one."""
+    return near_dup.without_near_duplicates(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; a document whose source has no words, or which no draw takes, goes.
+    Null is a source of its own; repeated rows draw alike."""
     return mixing.emit(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their token ids."""
+    """The pieces of the packed sequences, with their token ids. A null or empty text is its end token alone; rows that
+    share a doc_id are packed each; no documents, no pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
