@@ -31,10 +31,16 @@ def tail(changelog: DataFrame, after: int) -> DataFrame:
     return changelog.where(F.col("id") > after).orderBy("id")
 
 
+def created_tables(changelog: DataFrame) -> DataFrame:
+    """table_id and last_id, the entry that created it, of the tables created and not dropped."""
+    of = changelog.where(F.col("kind").isin("table_created", "table_dropped"))
+    last = of.groupBy("table_id").agg(F.max_by("kind", "id").alias("kind"), F.max("id").alias("last_id"))
+    return last.where("kind = 'table_created'").select("table_id", "last_id")
+
+
 def live_tables(changelog: DataFrame) -> DataFrame:
     """table_id of the tables created and not dropped."""
-    of = changelog.where(F.col("kind").isin("table_created", "table_dropped"))
-    return of.groupBy("table_id").agg(F.max_by("kind", "id").alias("kind")).where("kind = 'table_created'").select("table_id")
+    return created_tables(changelog).select("table_id")
 
 
 def summary(runs: DataFrame, tables: DataFrame) -> DataFrame:

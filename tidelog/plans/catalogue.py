@@ -145,20 +145,22 @@ def wal_compaction(spark, sf_dir):
     return merge.latest_wins(base.batches(spark, sf_dir).where("batch_no < 16").drop("batch_no"))
 
 
-@query("oplog", "batches", body="SELECT table_name, key, op, value FROM batches WHERE batch_no < 40 QUALIFY row_number() OVER (PARTITION BY table_name, key ORDER BY seq_no DESC) = 1")
+@query("oplog", "tiered", body="""SELECT table_name, key, op, value FROM tiered WHERE rank = 2 OR rank = 1 AND (seq_no - 1) // 100 IN (SELECT DISTINCT (seq_no - 1) // 100 AS b FROM tiered WHERE rank = 1 ORDER BY b LIMIT 16)
+QUALIFY row_number() OVER (PARTITION BY table_name, key ORDER BY seq_no DESC) = 1""")
 def buffer_compaction(spark, sf_dir):
-    ops = base.batches(spark, sf_dir).where("batch_no < 40")
-    level = merge.latest_wins(ops.where("batch_no < 24"), ("table_name", "key")).withColumn("rank", F.lit(1))
-    buffer = merge.latest_wins(ops.where("batch_no >= 24"), ("table_name", "key")).withColumn("rank", F.lit(0))
-    return merge.first_wins(buffer.unionByName(level)).select("table_name", "key", "op", "value")
+    """The sixteen oldest buffer runs, a run for each batch, with all of level 0."""
+    tiers = base.tiered(spark, sf_dir).withColumn("run_id", F.floor((F.col("seq_no") - 1) / base.BATCH))
+    oldest = layout.oldest(tiers.where("rank = 1").select(F.col("run_id").alias("seq_no"), "run_id").distinct(), manifest.FAN_IN)
+    buffer = tiers.where("rank = 1").join(F.broadcast(oldest.select("run_id")), "run_id", "left_semi")  # FAN_IN rows
+    ops = merge.latest_wins(buffer.unionByName(tiers.where("rank = 2"), allowMissingColumns=True).drop("run_id"), ("rank", "table_name", "key"))
+    return merge.first_wins(ops).select("table_name", "key", "op", "value")
 
 
-@query("oplog", "batches", body="SELECT table_name, key, value FROM (SELECT * FROM batches WHERE batch_no < 60 QUALIFY row_number() OVER (PARTITION BY table_name, key ORDER BY seq_no DESC) = 1) WHERE op = 'put'")
+@query("oplog", "tiered", body="SELECT table_name, key, value FROM (SELECT * FROM tiered WHERE rank >= 2 QUALIFY row_number() OVER (PARTITION BY table_name, key ORDER BY seq_no DESC) = 1) WHERE op = 'put'")
 def level_compaction_max(spark, sf_dir):
-    ops = base.batches(spark, sf_dir).where("batch_no < 60")
-    lower = merge.latest_wins(ops.where("batch_no < 30"), ("table_name", "key")).withColumn("rank", F.lit(1))
-    upper = merge.latest_wins(ops.where("batch_no >= 30"), ("table_name", "key")).withColumn("rank", F.lit(0))
-    return merge.visible(merge.first_wins(upper.unionByName(lower))).select("table_name", "key", "value")
+    """A level merged into the last one, which keeps no deletes."""
+    ops = merge.latest_wins(base.tiered(spark, sf_dir).where("rank >= 2"), ("rank", "table_name", "key"))
+    return merge.visible(merge.first_wins(ops)).select("table_name", "key", "value")
 
 
 @query("oplog", "merged", "lower_runs", "requests", body="SELECT r.table_name, r.key, l.run_id, l.min_key FROM requests r ASOF JOIN lower_runs l ON r.table_name = l.table_name AND r.key >= l.min_key")
@@ -265,8 +267,8 @@ def jobs_schedule(spark, sf_dir):
 
 @query("ddl", body="SELECT table_name, max(id) AS table_id FROM ddl GROUP BY table_name HAVING arg_max(kind, id) = 'table_created'")
 def table_catalog(spark, sf_dir):
-    last = base.ddl(spark, sf_dir).groupBy("table_name").agg(F.max("id").alias("table_id"), F.max_by("kind", "id").alias("kind"))
-    return last.where("kind = 'table_created'").select("table_name", "table_id")
+    entries = base.ddl(spark, sf_dir).select("id", "kind", F.col("table_name").alias("table_id"))
+    return manifest.created_tables(entries).select(F.col("table_id").alias("table_name"), F.col("last_id").alias("table_id"))
 
 
 @query(body="SELECT event_id AS seq_no, 'snapshots/' || CAST(event_id AS VARCHAR) AS snapshot_id FROM events WHERE event_id % 500 = 0 ORDER BY seq_no DESC LIMIT 1")
@@ -322,13 +324,13 @@ def secondary_index(spark, sf_dir):
     return entries.groupBy(F.substring_index("key", ".", 1).alias("key")).agg(F.count("*").alias("entries"), F.min(order).alias("first_order"), F.max(order).alias("last_order"))
 
 
-@query(body="SELECT CAST(c_custkey AS VARCHAR) AS key, CAST(count(o_orderkey) AS BIGINT) AS n_orders, round(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)), 0) / 100.0, 2) AS spent FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_custkey % 3 = 0 GROUP BY c_custkey")
+@query(body="SELECT CAST(c_custkey AS VARCHAR) AS key, CAST(count(o_orderkey) AS BIGINT) AS n_orders, round(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)), 0) / 100.0, 2) AS spent FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def feature_serving(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     features = orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(cents).alias("cents"))
     puts = features.select(F.lit("features").alias("table_name"), F.col("o_custkey").cast("string").alias("key"), F.lit(PUT).alias("op"), F.lit(1).cast("long").alias("seq_no"), F.struct("n", "cents").alias("value"))
-    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").select(F.lit("features").alias("table_name"), F.col("c_custkey").cast("string").alias("key"))
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("features").alias("table_name"), F.col("c_custkey").cast("string").alias("key"))
     found = merge.get_states(puts, wanted)
     return found.select("key", F.coalesce("value.n", F.lit(0).cast("long")).alias("n_orders"), F.round(F.coalesce("value.cents", F.lit(0).cast("long")) / 100.0, 2).alias("spent"))
 

@@ -40,7 +40,7 @@ CTES = {
         CASE WHEN batch_no % 4 >= 2 THEN batch_no % 4 - 2 END AS level, size_bytes, batch_no, table_name FROM batch_runs""",
     "requested_jobs": """SELECT event_id + 1 AS job_id, CASE event_id % 3 WHEN 0 THEN 'wal_compaction' WHEN 1 THEN 'table_buffer_compaction' ELSE 'table_tree_compaction' END AS job_type,
         CASE WHEN event_id % 3 > 0 THEN user_id % 5 END AS table_id, CASE WHEN event_id % 3 = 2 THEN user_id % 7 END AS level,
-        CASE WHEN event_id % 11 = 0 THEN 'failed' WHEN event_id % 2 = 0 THEN 'completed' ELSE 'pending' END AS status FROM events WHERE event_id < 5000""",
+        CASE WHEN event_id % 11 = 0 THEN 'failed' WHEN event_id % 2 = 0 THEN 'completed' ELSE 'pending' END AS status FROM events""",
     "ddl": """SELECT event_id + 1 AS id, CASE WHEN event_id % 5 = 4 THEN 'table_dropped' ELSE 'table_created' END AS kind, 't' || CAST(user_id AS VARCHAR) AS table_name
         FROM events WHERE event_type = 'signup'""",
 }
@@ -115,7 +115,7 @@ def manifest_runs(runs: DataFrame) -> DataFrame:
 
 
 def requested_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("event_id < 5000")
+    e = events(spark, sf_dir)
     three = F.col("event_id") % 3
     return e.select(
         (F.col("event_id") + 1).alias("job_id"), F.when(three == 0, "wal_compaction").when(three == 1, "table_buffer_compaction").otherwise("table_tree_compaction").alias("job_type"),
