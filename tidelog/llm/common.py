@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import math
 import shutil
 import tempfile
 import uuid
@@ -90,11 +89,6 @@ def small_batches(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> It
         yield batch.slice(int(a), int(b - a))
 
 
-def bucket_count(df: DataFrame, rows: int, per: int, least: int = 1) -> int:
-    """Buckets so that each holds about `per` rows of `rows`."""
-    return max(least, math.ceil(rows / per))
-
-
 def lower_ascii(text: F.Column) -> F.Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -1,19 +1,21 @@
 """Packing documents into training sequences: first-fit decreasing with a tournament tree of bin capacities.
 
-Each document becomes token ids, an end id, and pieces: full ones of the sequence's length and a remainder. Documents
-are dealt at random into groups of about GROUP rows, and each group packs its pieces by itself: longest first, each
-into the first bin with room, found by walking down a tree whose nodes hold the largest free capacity below them.
+Each document becomes token ids, an end id, and pieces: full ones of the sequence's length and a remainder. They are
+dealt at random into groups of about GROUP pieces, and each group packs by itself: longest first, each into the first
+bin with room, found by walking down a tree whose nodes hold the largest free capacity below them.
 
-Groups have a bounded number of documents whatever the corpus, ids move once (two bytes each), and no step needs
-more than one group at a time. Groups are dealt by position, so no repeated key gathers rows.
+Groups hold a bounded number of pieces, so of bytes, whatever the corpus and however long a document; ids move once
+(two bytes each), and no step needs more than one group at a time. Groups are dealt by the positions of rows and pieces,
+so no repeated key gathers rows.
 
 Defined cases: null text counts as empty, and an empty document is one piece holding the end id; repeated rows are
 packed each; equal lengths go by the order of doc_id and start; other columns are ignored. A sequence is padded to
-the full length unless its tokens are a power of two.
+the full length unless its tokens are a power of two. Tokenizers with ids over 65535 are refused.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from array import array
@@ -28,8 +30,11 @@ from tokenizers import Tokenizer
 from tidelog.llm import common
 
 LENGTH, END, GROUP = 2048, 1, 2000
-#: Words whose ids a worker keeps; the table is emptied when it is full.
-KEEP = 600_000
+#: Words whose ids a worker keeps in its newer table. When that is full it becomes the older one, from which words that
+#: occur again are taken over.
+KEEP = 160_000
+#: Texts that are encoded at once.
+BATCH = 2000
 
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _BREAK = re.compile(r"(?<=\S)(\n)(?=\S)")
@@ -48,10 +53,16 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        if max(self.tok.get_vocab().values(), default=0) > 65535:
+            raise ValueError(f"{path} has ids of more than 16 bits")
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("H", x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for i in range(0, len(texts), BATCH):  # encodings take far more memory than ids
+            out += [array("H", x.ids).tobytes() for x in self.tok.encode_batch_fast(texts[i : i + BATCH], add_special_tokens=False)]
+        return out
 
     @staticmethod
     def parts(word: str) -> list[str]:
@@ -85,7 +96,7 @@ class WordTokenizer:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 16-bit numbers."""
         if len(self.ids) > KEEP:
-            self.ids.clear()
+            self.older, self.ids = self.ids, {}
         split, whole = {}, []
         for i, t in enumerate(texts):
             blank = any(x in t for x in _BLANKS) if t.isascii() else True
@@ -94,6 +105,9 @@ class WordTokenizer:
             else:
                 split[i] = t.replace(" ", "\0 ").split("\0")
         unknown = set().union(*split.values()).difference(self.ids)
+        again = unknown.intersection(self.older)
+        self.ids.update((w, self.older[w]) for w in again)
+        unknown -= again
         if unknown:
             self.learn(unknown)
         get = self.ids.__getitem__
@@ -170,8 +184,10 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, seed: int = 1) -> DataFrame:
     """doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset, sequence_tokens, padded_to."""
-    groups = common.bucket_count(docs, docs.count(), GROUP)
-    dealt = pieces(docs, path, length, end).withColumn("grp", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)))
+    n = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    # a remainder for each row, and full pieces as if each token had two bytes
+    groups = max(1, math.ceil((n["rows"] + n["bytes"] / (2 * length)) / GROUP))
+    dealt = pieces(docs, path, length, end).withColumn("grp", F.pmod(F.xxhash64("row", "start", F.lit(seed)), F.lit(groups)))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks().sort_by([("doc_id", "ascending"), ("start", "ascending"), ("row", "ascending")])
