@@ -114,14 +114,158 @@ def test_probabilities_sum_to_one():
     assert total == pytest.approx(np.ones(4))
 
 
-def test_seating():
-    rng = np.random.default_rng(3)
-    n = np.array([0, 1, 2, 50, 5000, 100_000])
-    t = language_model.seat(n, np.full(6, 3.0), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and ((t >= 1) | (n == 0)).all() and (t <= n).all() and t[5] > t[3]
-    # two customers: one or two tables, the second with probability mass / (1 - d + mass)
-    two = language_model.seat(np.full(20_000, 2), np.full(20_000, 1.5), 0.5, rng)
-    assert two.mean() - 1 == pytest.approx(1.5 / 2.0, abs=0.02)
+def stirling(n, discount):
+    """Logarithms of generalised Stirling numbers S(n, 0...n)."""
+    row = np.array([0.0])
+    for c in range(n):
+        with np.errstate(divide="ignore"):
+            row = np.logaddexp(np.r_[-np.inf, row], np.r_[row + np.log(np.maximum(c - np.arange(c + 1) * discount, 0)), -np.inf])
+    return row
+
+
+@pytest.mark.parametrize("c", [2, 3, 10, 300, 5000])
+def test_stirling_ratios(c):
+    s = stirling(c, 0.6)
+    t = np.arange(2, c + 1)
+    if c > language_model.TABULATED:
+        t = t[t < 3 * c**0.6]  # numbers of tables that occur
+    got = language_model.stirling_ratio(np.full(len(t), c), t, 0.6)
+    assert got == pytest.approx(np.exp(s[t - 1] - s[t]), rel=1e-6 if c <= language_model.TABULATED else 0.06)
+
+
+@pytest.mark.parametrize("c, mass", [(2, 0.3), (5, 2.0), (40, 0.5), (1500, 1.5)])
+def test_reseating_keeps_the_distribution_of_tables(c, mass, monkeypatch):
+    """One word in a restaurant with 10 tables of others: chances of t tables are S(c, t) p ** t (strength + d (10 + j)) ..."""
+    monkeypatch.setattr(language_model, "RESEATED", max(16, c // 5))
+    d, strength, n = 0.5, 1.0, 2000
+    p = mass / (strength + d * 10)
+    ks = np.arange(1, c + 1)
+    weight = stirling(c, d)[1:] + ks * math.log(p) + np.cumsum(np.log(strength + d * (10 + np.arange(c))))
+    weight = np.exp(weight - weight.max())
+    want = (ks * weight).sum() / weight.sum()
+    t = language_model.expected_tables(np.full(n, c), np.full(n, mass), d)
+    keys, means = np.arange(n, dtype=np.uint64), []
+    for sweep in range(60):
+        t = language_model.reseat(np.full(n, c), t, 10.0 + t, strength, d, np.full(n, p), np.full(n, p), keys, sweep)
+        means.append(t.mean())
+    assert np.mean(means[len(means) // 2 :]) == pytest.approx(want, rel=0.02)
+
+
+class Restaurant:
+    """A Chinese restaurant with every table, for the plain sampler."""
+
+    def __init__(self, strength, discount, parent):
+        self.strength, self.discount, self.parent, self.tables = strength, discount, parent, {}
+        self.customers = self.opened = 0
+
+    def p(self, w):
+        own = self.tables.get(w, [])
+        return (max(sum(own) - self.discount * len(own), 0) + (self.strength + self.discount * self.opened) * self.parent.p(w)) / (self.strength + self.customers)
+
+    def add(self, w, rng):
+        own = self.tables.setdefault(w, [])
+        weights = [x - self.discount for x in own] + [(self.strength + self.discount * self.opened) * self.parent.p(w)]
+        k = rng.choices(range(len(weights)), weights)[0]
+        self.customers += 1
+        if k < len(own):
+            own[k] += 1
+        else:
+            own.append(1)
+            self.opened += 1
+            self.parent.add(w, rng)
+
+    def remove(self, w, rng):
+        own = self.tables[w]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        self.customers -= 1
+        if not own[k]:
+            own.pop(k)
+            self.opened -= 1
+            self.parent.remove(w, rng)
+
+
+class Uniform:
+    def __init__(self, words):
+        self.share = 1 / (words + 1)
+
+    def p(self, w):
+        return self.share
+
+    def add(self, w, rng):
+        pass
+
+    remove = add
+
+
+def test_the_sampler_against_a_plain_one():
+    """Mean scores of texts under the sweeps of one part, and under customers that are reseated one by one at real tables."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    vocabulary = [a + b for a in ("ka", "li", "mo", "nu") for b in ("s", "t", "r")]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(12)], k=12)).encode() for _ in range(40)]
+    texts += [t for t in texts[:8]]
+    found = [language_model.tokens(t) for t in texts]
+    ((_, blob),) = language_model._entries(found, 1, np.zeros(len(found), bool), False)
+    row = language_model._count(pa.table({"part": pa.array([0]), "data": pa.array([blob], pa.binary())})).to_pylist()[0]
+    many, cells, tables = (language_model._unpack(row[k], t) for k, t in (("many", language_model._MANY), ("cells", language_model._CELLS), ("tables", language_model._TABLES)))
+    _, contexts, classes, customers, entries, _, _ = language_model._unpack(row["counts"], language_model._PART)
+    discounts, places = (0.6, 0.4, 0.7), many[1].astype(np.int64)
+    pairs = {}
+    for w, c in found:
+        before = np.append(language_model.START, w[:-1])
+        for u, k, x in zip(before.tolist(), c.tolist(), w.tolist()):
+            pairs[(u, k, x)] = pairs.get((u, k, x), 0) + 1
+
+    words = cells[0]
+    total, n = {}, 0
+    for number in range(160):
+        facts = [len(words), int(tables[2].sum())]
+        sums = [np.bincount(cells[2], weights=x, minlength=language_model.CLASSES) for x in (tables[3], tables[1])]
+        t = language_model.Totals.__new__(language_model.Totals).set(*sums, *facts, len(found), discounts)
+        added = np.bincount(many[2], weights=tables[0].astype(np.int64) - 1, minlength=len(places))
+        if number >= 60:
+            n += 1
+            opened = entries.astype(float)
+            opened[places] += added
+            state = pa.table({k: pa.array([v], pa.binary()) for k, v in (("counts", row["counts"]), ("many", row["many"]), ("cells", row["cells"]), ("tables0", language_model._pack(language_model._TABLES, *tables)), ("sums", language_model._pack((np.uint32, np.uint32), customers, opened)))})
+            ((_, asked),) = language_model._entries(found, 1, np.zeros(len(found), bool), True)
+            docs, _, _, score = language_model._unpack(language_model.Part(state, [t]).sums(asked), language_model._SUMS)
+            for i, x in zip(docs.tolist(), score.tolist()):
+                total[i] = total.get(i, 0) + x
+        tables = language_model.sweep_part(t, number, many, cells, tables, entries.astype(np.int64)[places] + added.astype(np.int64))
+    got = np.array([total[i] / n for i in range(len(found))])
+
+    root = Restaurant(language_model.ROOT_STRENGTH, discounts[1], Uniform(len(words)))
+    middle = {k: Restaurant(language_model.STRENGTH, discounts[0], root) for _, k, _ in pairs}
+    leaf = {u: Restaurant(language_model.CONTEXT_STRENGTH, discounts[2], middle[k]) for u, k, _ in pairs}
+    everyone = [(u, x) for (u, _, x), c in pairs.items() for _ in range(c)]
+    for u, x in everyone:
+        leaf[u].add(x, rng)
+    sums, n = np.zeros(len(found)), 0
+    for sweep in range(90):
+        rng.shuffle(everyone)
+        for u, x in everyone:
+            leaf[u].remove(x, rng)
+            leaf[u].add(x, rng)
+        if sweep >= 30:
+            n += 1
+            sums += [sum(math.log10(leaf[u].p(x)) for u, x in zip([int(language_model.START), *w.tolist()], w.tolist())) for w, _ in found]
+    want = sums / n
+    assert np.abs(got - want).mean() / np.abs(want).mean() < 0.02
+    assert got.sum() == pytest.approx(want.sum(), rel=0.01)
+
+
+def test_scores_do_not_depend_on_parts(docs, real, monkeypatch):
+    texts = [r["text"] for r in real.select("text").limit(80).collect()]
+    one = {r["doc_id"]: r["score"] for r in lm(docs(texts)).collect()}
+    monkeypatch.setattr(language_model, "_parts", lambda d: 3)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 20_000)
+    three = {r["doc_id"]: r["score"] for r in lm(docs(texts).repartition(3)).collect()}
+    assert three == pytest.approx(one)
 
 
 def test_language_model_edges(docs):
