@@ -209,7 +209,7 @@ def test_the_sampler_against_a_plain_one():
     texts = [" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(12)], k=12)).encode() for _ in range(40)]
     texts += [t for t in texts[:8]]
     found = [language_model.tokens(t) for t in texts]
-    ((_, blob),) = language_model._entries(found, 1, np.zeros(len(found), bool), False)
+    ((_, blob),) = language_model._entries(list(found), 1, len(found), False)
     row = language_model._count(pa.table({"part": pa.array([0]), "data": pa.array([blob], pa.binary())})).to_pylist()[0]
     many, cells, tables = (language_model._unpack(row[k], t) for k, t in (("many", language_model._MANY), ("cells", language_model._CELLS), ("tables", language_model._TABLES)))
     _, contexts, classes, customers, entries, _, _ = language_model._unpack(row["counts"], language_model._PART)
@@ -232,7 +232,7 @@ def test_the_sampler_against_a_plain_one():
             opened = entries.astype(float)
             opened[places] += added
             state = pa.table({k: pa.array([v], pa.binary()) for k, v in (("counts", row["counts"]), ("many", row["many"]), ("cells", row["cells"]), ("tables0", language_model._pack(language_model._TABLES, *tables)), ("sums", language_model._pack((np.uint32, np.uint32), customers, opened)))})
-            ((_, asked),) = language_model._entries(found, 1, np.zeros(len(found), bool), True)
+            ((_, asked),) = language_model._entries(list(found), 1, len(found), True)
             docs, _, _, score = language_model._unpack(language_model.Part(state, [t]).sums(asked), language_model._SUMS)
             for i, x in zip(docs.tolist(), score.tolist()):
                 total[i] = total.get(i, 0) + x
