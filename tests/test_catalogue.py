@@ -1,7 +1,7 @@
 import pytest
 from oracle import connect, same
 
-from tidelog.plans import catalogue
+from tidelog.plans import catalogue, stored  # noqa: F401  (adds its queries)
 
 
 @pytest.fixture(scope="module")

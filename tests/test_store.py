@@ -172,7 +172,7 @@ def test_streaming_ingest_is_written_once(spark, data, tmp_path):
     got = sorted(((n, k, v.decode()) for n, items in visible(store).items() for k, v in items), key=repr)
     assert got == want
     seq = store.state().seq_no
-    assert store.write_batch({"view": [("zzz", b"v")]}, tag="ingest:0") == seq  # a repeated micro-batch
+    assert store.write_batch({"view": [("zzz", b"v")]}, tag=("ingest", 0)) == seq  # a repeated micro-batch
     tail = ingest.changelog_stream(spark, store.root).writeStream.format("memory").queryName("tail").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     tail.awaitTermination()
     assert spark.table("tail").count() == seq
@@ -187,3 +187,143 @@ def test_streaming_state_equals_the_batch(spark, data, tmp_path):
     from tidelog.operators import merge
 
     assert rows(spark.table("state"), "table_name", "key", "seq_no", "op", "value") == rows(merge.latest_wins(log), "table_name", "key", "seq_no", "op", "value")
+
+
+def test_a_writer_that_dies_within_a_commit_leaves_the_store_as_it_was(store):
+    store.create_table("t")
+    store.write_batch({"t": [("k", b"v")]})
+    # what a writer leaves that dies before it publishes: part of an entry under another name
+    draft = store.files._path(f"changelog/.{3:020d}.json-draft")
+    out = store.files.fs.create(draft, False)
+    out.write(bytearray(b'{"id": 3, "ki'))
+    out.close()
+    other = Store(store.spark, store.root)
+    assert other.state() == store.state() and other.write_batch({"t": [("k2", b"v")]}) == 3
+    assert visible(store) == {"t": [("k", b"v"), ("k2", b"v")]}
+
+
+def test_an_entry_appears_whole_and_once(store):
+    store.files.make("changelog")
+    drafts = [store.files._path(f"changelog/.draft{i}") for i in range(2)]
+    for i, d in enumerate(drafts):
+        store.files._write(d, f'{{"writer": {i}}}')
+    target = store.files._path("changelog/x.json")
+    assert [store.files._publish(d, target) for d in drafts] == [True, False]
+    assert json.loads(store.files.read("changelog/x.json")) == {"writer": 0}
+    assert store.files.names("changelog") == ["x.json"]
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    first = Store(spark, str(tmp_path / "s"))
+    first.create_table("t")
+    with ThreadPoolExecutor(4) as pool:
+        seqs = list(pool.map(lambda i: Store(spark, first.root).write_batch({"t": [(f"k{i}", b"%d" % i)]}), range(8)))
+    assert sorted(seqs) == list(range(2, 10))
+    assert visible(first) == {"t": [(f"k{i}", b"%d" % i) for i in range(8)]}
+
+
+def test_a_key_twice_needs_an_order(store, spark):
+    store.create_table("t")
+    schema = "table_name string, key string, op string, value binary, pos long"
+    rows_ = [("t", "a", "put", b"1", 0), ("t", "a", "delete", None, 1), ("t", "a", "put", b"3", 2)]
+    with pytest.raises(InvalidArgument):
+        store.write_batch(spark.createDataFrame(rows_, schema).drop("pos"))
+    assert visible(store) == {"t": []}
+    store.write_batch(spark.createDataFrame(rows_[::-1], schema).repartition(3))
+    assert visible(store) == {"t": [("a", b"3")]}
+
+
+def test_runs_of_the_log_are_sorted_and_bounded(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), max_run_bytes=3000)
+    for t in ("a", "b"):
+        store.create_table(t)
+    batch = spark.range(300).selectExpr("if(id % 3 = 0, 'a', 'b') as table_name", "concat('k', lpad(cast(id * 7 % 300 as string), 4, '0')) as key", "'put' as op", "cast('v' as binary) as value").repartition(5)
+    store.write_batch(batch)
+    runs = list(store.state().runs.values())
+    assert len(runs) > 1 and sum(r["put_count"] for r in runs) == 300 and {r["tier"] for r in runs} == {"wal"}
+    for r in runs:
+        held = [(x["table_id"], x["key"]) for x in store.get_run(r["run_id"]).collect()]
+        assert held == sorted(set(held)) and len(held) == r["put_count"]
+    store.compact_wal()
+    assert {(r["tier"], r["table_id"]) for r in store.state().runs.values()} == {("buffer", 1), ("buffer", 2)}
+    gone = store.runs_by_id([runs[0]["run_id"], "unknown"])
+    assert list(gone) == [runs[0]["run_id"]] and store.get_run(runs[0]["run_id"]).count() == runs[0]["put_count"]
+    with pytest.raises(NotFound):
+        store.get_run("unknown/owner=0/part=0")
+
+
+def test_requested_keys_reach_the_files(store):
+    store.create_table("t")
+    store.create_table("u")
+    store.write_batch({"t": [("a", b"1"), ("m", b"2"), ("z", b"3")]})
+    store.write_batch({"t": [("b", b"4"), ("c", b"5")]})
+    store.compact_wal()
+    plan = store.get_batch({"t": ["m", "n"]})._jdf.queryExecution().executedPlan().toString()
+    assert "In(key, [m,n])" in plan and "EqualTo(table_id,1)" in plan
+    assert rows(store.get_batch({"t": ["m", "n"]}), "key") == [("m",)]
+
+
+def test_jobs_are_tried_again_and_taken_once(store, monkeypatch):
+    from tidelog.sources import store as module
+
+    store.create_table("t")
+    job = store.kick_off("table_tree_compaction", 99, 0)  # no such table
+    for k in range(module.ATTEMPTS):
+        assert store.job_status(job)["status"] == "pending" and store.job_status(job)["attempts"] == k
+        with pytest.raises(KeyError):
+            store.run_job(job, now=1e9 * (k + 1))
+        if k + 1 < module.ATTEMPTS:
+            with pytest.raises(FailedPrecondition, match="waits"):
+                store.run_job(job, now=1e9 * (k + 1) + 1)
+    assert store.job_status(job)["status"] == "failed"
+    with pytest.raises(FailedPrecondition):
+        store.run_job(job, now=1e12)
+    job = store.kick_off("wal_compaction")
+    assert store.files.create(f"jobs/{job:020d}/try-0000.json", json.dumps({"at": __import__("time").time()}))  # another worker has it
+    with pytest.raises(FailedPrecondition, match="running"):
+        store.run_job(job)
+    monkeypatch.setattr(module, "LEASE", -1.0)  # and is lost
+    assert store.run_job(job) == store.state().seq_no
+
+
+def test_the_log_is_compacted_when_due(store):
+    store.create_table("t")
+    for i in range(5):
+        store.write_batch({"t": [(f"k{i}", b"v")]})
+    last = store.compact_wal_when_due(lambda s: True, every=0, wal_runs=3)
+    assert last == store.state().seq_no == 7 and store.compact_wal_when_due(lambda s: True, every=0, wal_runs=3) == 0
+    with pytest.raises(FailedPrecondition):
+        store.compact_wal(min_seq=99)
+
+
+def test_following_the_changelog(store):
+    store.create_table("t")
+    seen = store.follow(poll=0, until=3)
+    assert next(seen).seq_no == 1
+    other = Store(store.spark, store.root)
+    other.create_table("u")
+    other.drop_table("t")
+    assert [(s.seq_no, sorted(s.tables)) for s in seen] == [(2, ["t", "u"]), (3, ["u"])]
+    history = {r["table_name"]: r for r in store.table_history().collect()}
+    assert history["t"]["deleted_at"] >= history["t"]["created_at"] and history["u"]["deleted_at"] is None
+
+
+def test_settings(store):
+    assert store.settings().flush_ops == 50_000
+    store.set_settings(flush_ops=7, max_run_bytes="12", concurrent_uploads="many")
+    assert (store.settings().flush_ops, store.settings().max_run_bytes, store.settings().concurrent_uploads) == (7, 12, 4)
+    store.set_settings(flush_ops=-1)
+    assert store.settings().flush_ops == 50_000
+
+
+def test_large_micro_batches_are_several_commits(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.create_table("t")
+    store.set_settings(flush_ops=40)
+    spark.range(100).selectExpr("'t' as table_name", "concat('k', cast(id % 60 as string)) as key", "'put' as op", "cast(cast(id as string) as binary) as value", "id as pos").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("table_name string, key string, op string, value binary, pos long").parquet(str(tmp_path / "in"))
+    ingest.ingest(stream, store, str(tmp_path / "c"), trigger={"availableNow": True}).awaitTermination()
+    assert store.state().seq_no == 4 and len(store.state().batches) == 3
+    assert dict(visible(store)["t"]) == {f"k{i}": b"%d" % (i + 60 if i < 40 else i) for i in range(60)}

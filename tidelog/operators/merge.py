@@ -46,6 +46,18 @@ def batch_dedup(ops: DataFrame, by: Sequence[str] = ("table_name", "key"), posit
     return last.select(*by, "last.*").select(*ops.columns)
 
 
+#: What only_once says.
+TWICE = "a key is there twice, and nothing tells which is the last: "
+
+
+def only_once(ops: DataFrame, by: Sequence[str] = ("table_name", "key")) -> DataFrame:
+    """ops, or an error where a key is there more than once."""
+    rest = [c for c in ops.columns if c not in by]
+    one = ops.groupBy(*by).agg(F.count("*").alias("n"), F.first(F.struct(*rest)).alias("row"))
+    checked = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit(TWICE), F.col("key")))).otherwise(F.col("row"))
+    return one.select(*by, checked.alias("row")).select(*by, "row.*").select(*ops.columns)
+
+
 def get_batch(ops: DataFrame, requests: DataFrame, by: Sequence[str] = ("table_name", "key")) -> DataFrame:
     """Visible rows of the requested keys of any number of tables, each once; missing and deleted keys are absent.
 

@@ -14,12 +14,23 @@ FLUSH = "250 milliseconds"
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, name: str = "ingest", trigger: dict | None = None) -> StreamingQuery:
-    """Writes a stream of table_name, key, op, value and pos as a commit for each micro-batch, in order; a micro-batch
-    that is run again bears the same tag and is written once."""
+    """Writes a stream of table_name, key, op, value and pos as commits, in order; a micro-batch that is run again bears
+    the same tags and is written once.
+
+    A micro-batch is one commit up to the setting flush_ops, else several of about so many operations, with all of a key
+    in one. The source's own limits (maxFilesPerTrigger and the like) hold back what the writer can't take.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            store.write_batch(batch, tag=f"{name}:{batch_id}")
+        batch = batch.persist()
+        try:
+            n = -(-batch.count() // store.settings().flush_ops)
+            if n == 1:
+                store.write_batch(batch, tag=(name, batch_id))
+            for i in range(n if n > 1 else 0):
+                store.write_batch(batch.where(F.pmod(F.xxhash64("table_name", "key"), F.lit(n)) == i), tag=(f"{name}/{i}", batch_id))
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName(name).trigger(**(trigger or {"processingTime": FLUSH})).start()
 
@@ -30,6 +41,15 @@ def changelog_stream(spark: SparkSession, root: str, per_trigger: int = 1000) ->
     return lines.select(F.get_json_object("value", "$.id").cast("long").alias("id"), F.get_json_object("value", "$.kind").alias("kind"), F.col("value").alias("json"))
 
 
+def live_runs_stream(changelog: DataFrame) -> DataFrame:
+    """run_id and added_at of the live runs, kept up to date with changelog_stream; state grows with the runs."""
+    added = F.transform(F.from_json(F.get_json_object("json", "$.runs_added"), "array<struct<run_id:string>>"), lambda r: F.struct(r["run_id"].alias("run_id"), F.lit(False).alias("gone")))
+    removed = F.transform(F.from_json(F.get_json_object("json", "$.runs_removed"), "array<string>"), lambda r: F.struct(r.alias("run_id"), F.lit(True).alias("gone")))
+    each = changelog.select("id", F.explode(F.concat(added, removed)).alias("run"))
+    last = each.groupBy("run.run_id").agg(F.max(F.struct("id", "run.gone")).alias("last"))
+    return last.where("not last.gone").select("run_id", F.col("last.id").alias("added_at"))
+
+
 def latest_state(stream: DataFrame) -> DataFrame:
     """The newest operation of each key of a stream of table_name, key, seq_no, op, value. State grows with the keys,
     deletes included, as a late older put must not come back."""
