@@ -177,3 +177,74 @@ def test_passages_within_one_document_are_left(docs):
     assert suffix_dedup.repeated_passages(docs([(1, p), (1, p)])).count() == 0
     assert suffix_dedup.repeated_passages(docs([])).count() == 0
     assert rows(suffix_dedup.repeated_passages(docs([(None, p), (2, p)])), "doc_id", "removable") == sorted([(None, 0), (2, 60)], key=repr)
+
+
+def test_removing_passages(docs, texts):
+    """What is left holds no passage that an earlier text has, and everything else."""
+    pairs = list(enumerate(texts))
+    spans = {}
+    for i, a, b, _ in brute.repeated_spans(pairs):
+        spans.setdefault(i, []).append((a, b))
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_passages(docs(pairs)).collect()}
+    assert got[0] == texts[0] and {i for i, t in pairs if t is None} == {i for i, t in got.items() if t is None}
+    removable = {}
+    for i, _, _, n in brute.repeated_spans(pairs):
+        removable[i] = removable.get(i, 0) + n
+    for i, t in pairs:
+        assert len(brute.words(got[i])) == len(brute.words(t)) - removable.get(i, 0)
+        assert i in removable and removable[i] or got[i] == t
+
+
+def test_removing_passages_keeps_other_columns(docs):
+    from pyspark.sql import functions as F
+
+    p = " ".join(f"w{i}" for i in range(60))
+    d = docs([(1, p), (2, f"Before.  {p}\nafter"), (None, None)]).withColumn("spans", F.lit("mine"))
+    out = suffix_dedup.remove_passages(d)
+    assert out.columns == d.columns and rows(out, "doc_id", "text", "spans") == sorted([(1, p, "mine"), (2, "Before.  after", "mine"), (None, None, "mine")], key=repr)
+
+
+def clashing(df):
+    """With columns named as the operators' own."""
+    from pyspark.sql import functions as F
+
+    names = ("n", "h1", "h2", "sketch", "mins", "cid", "node", "root", "key", "row", "pos", "doc", "size", "weight", "anchor", "hot", "low", "held", "part", "block", "grp", "start", "media", "samples", "label", "score", "kept", "target_source", "source_size", "ids")
+    return df.withColumns({c: F.lit("mine") for c in names})
+
+
+def test_clashing_names(docs, texts):
+    d = docs(texts)
+    for op in (near_dup.near_duplicates, suffix_dedup.repeated_passages, exact_dedup.exact_dedup):
+        assert rows(op(clashing(d))) == rows(op(d))
+
+
+def test_repeated_rows_and_very_long_texts(docs):
+    rng = random.Random(8)
+    long = " ".join(f"{rng.getrandbits(40):x}" for _ in range(250_000))  # some 2.7 MB
+    other = long.rsplit(" ", 1000)[0]
+    d = docs([(1, long), (2, other), (3, long), (3, long), (4, "x" * 3_000_000)])
+    assert rows(near_dup.near_duplicates(d), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
+    assert rows(exact_dedup.exact_dedup(d), "doc_id", "keep_id", "group_size") == [(1, 3, 3), (2, 2, 1), (3, 3, 3), (3, 3, 3), (4, 4, 1)]
+    assert rows(suffix_dedup.repeated_passages(d), "doc_id", "start_word", "end_word", "removable") == [(1, 0, 250_000, 0), (2, 0, 249_000, 249_000), (3, 0, 250_000, 250_000)]
+    assert [r["n_removed"] for r in line_dedup.dedup_lines(d).collect()] == [0] * 5
+
+
+def test_many_rows_without_an_id(docs):
+    texts = [f"text number {i} of those without any id at all" for i in range(60)]
+    out = near_dup.near_duplicates(docs([(None, t) for t in texts for _ in range(3)]))
+    assert rows(out, "doc_id", "component_id", "kept") == [(None, None, True)] * 180
+
+
+def test_recall_at_the_threshold(docs, monkeypatch):
+    """Pairs at 0.75 to 0.8 that one large node holds, without others to join them: found to 0.9 at least."""
+    rng = random.Random(21)
+    common_part, texts = prose(rng, 12), []
+    for _ in range(120):
+        own = prose(rng, 100)
+        texts += [f"{common_part} {own} {prose(rng, 15)}" for _ in range(2)]
+    monkeypatch.setattr(near_dup, "SMALL", 20)
+    monkeypatch.setattr(near_dup, "FEW", 1)
+    sims = [len(x & y) / len(x | y) for x, y in zip(map(brute.shingles, texts[::2]), map(brute.shingles, texts[1::2]))]
+    pairs = [i for i, s in enumerate(sims) if 0.75 <= s < 0.8]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(texts)).collect()}
+    assert len(pairs) > 60 and sum(got[2 * i + 1] == 2 * i for i in pairs) >= 0.97 * len(pairs)

@@ -166,12 +166,23 @@ def _interlaced(h: int) -> np.ndarray:
     return np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def read_gif(data: bytes) -> tuple[int, int, list[dict]]:
-    """Width, height and the frames: place, indices as stored, palette, delay_ms, start_ms, disposal, transparent, and
-    canvas, the 32-bit RGBA picture shown (alpha in the lowest byte, 0 where nothing has been drawn)."""
+def screen(data: bytes) -> tuple[int, int, int]:
+    """Width, height and flags."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF file")
-    width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    return struct.unpack_from("<HHB", data, 6)
+
+
+def read_gif(data: bytes) -> tuple[int, int, list[dict]]:
+    """Width, height and all frames, each with a canvas of its own."""
+    return *screen(data)[:2], [f | {"canvas": f["canvas"].copy()} for f in frames_of(data)]
+
+
+def frames_of(data: bytes) -> Iterator[dict]:
+    """The frames, one at a time: place, indices as stored, palette, delay_ms, start_ms, disposal, transparent, and canvas,
+    the 32-bit RGBA picture shown (alpha in the lowest byte, 0 where nothing has been drawn), which the next frame is
+    drawn over."""
+    width, height, flags = screen(data)
     at, whole = 13, None
 
     def colours(n: int) -> np.ndarray:
@@ -194,14 +205,14 @@ def read_gif(data: bytes) -> tuple[int, int, list[dict]]:
 
     if flags & 0x80:
         whole = colours(2 << (flags & 7))
-    canvas, frames, now = np.zeros((height, width), np.uint32), [], 0
+    canvas, now = np.zeros((height, width), np.uint32), 0
     disposal, delay, clear_index = 0, 0, None
     try:
         while True:
             kind = data[at]
             at += 1
             if kind == 0x3B:
-                return width, height, frames
+                return
             if kind == 0x21:
                 label = data[at]
                 at += 1
@@ -234,7 +245,7 @@ def read_gif(data: bytes) -> tuple[int, int, list[dict]]:
                 part[...] = palette[seen]
             else:
                 np.copyto(part, palette[seen], where=seen != clear_index)
-            frames.append({"left": left, "top": top, "width": w, "height": h, "indices": indices, "palette": palette, "delay_ms": delay * 10, "start_ms": now, "disposal": disposal, "transparent": clear_index, "canvas": canvas.copy()})
+            yield {"left": left, "top": top, "width": w, "height": h, "indices": indices, "palette": palette, "delay_ms": delay * 10, "start_ms": now, "disposal": disposal, "transparent": clear_index, "canvas": canvas}
             now += delay * 10
             if disposal == 2:
                 part[...] = 0
@@ -277,9 +288,12 @@ def decode(df: DataFrame) -> DataFrame:
             for b in common.small_batches(whole, 2, 2 << 20):
                 samples, frames = [], []
                 for data in b.column(2).to_pylist():
-                    _, _, found = read_gif(data)
-                    samples.append(b"".join([f["indices"].tobytes() for f in found]))
-                    frames.append([{k: f[k] for k in ("left", "top", "width", "height", "start_ms", "delay_ms", "disposal")} | {"histogram": histogram(f["canvas"]).tolist()} for f in found])
+                    pixels, timed = bytearray(), []
+                    for f in frames_of(data):
+                        pixels += f["indices"].tobytes()
+                        timed.append({k: f[k] for k in ("left", "top", "width", "height", "start_ms", "delay_ms", "disposal")} | {"histogram": histogram(f["canvas"]).tolist()})
+                    samples.append(bytes(pixels))
+                    frames.append(timed)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(samples, pa.binary()), pa.array(frames, pa.list_(FRAME))], [*b.schema.names, "samples", "frames"])
 
     return common.map_arrow(df, run, "doc_id long, n_bytes long, media binary, samples binary, frames array<struct<left int, top int, width int, height int, start_ms long, delay_ms long, disposal int, histogram array<long>>>")

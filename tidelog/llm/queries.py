@@ -36,11 +36,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("later_copies")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +110,32 @@ SELECT doc_id, size, source_size, target,
 FROM rates
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i + 1:i + 5], ' ')) AS h
+             FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+least AS (SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) AS component_id, d.doc_id <= coalesce(l.y, d.doc_id) AS kept
+FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+"""
+
+OP4_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, s, md5_number(array_to_string(w[s + 1:s + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS s FROM docs WHERE len(w) >= 50)),
+shared AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+hits AS (SELECT doc_id, s, doc_id <> first AS later FROM windows JOIN shared USING (h)),
+near AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM hits),
+islands AS (SELECT *, sum(CASE WHEN s > prev + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM near),
+gone AS (SELECT doc_id, s, least(50, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s) - s, 50)) AS n FROM hits WHERE later)
+SELECT i.doc_id, min(i.s) AS start_word, max(i.s) + 50 AS end_word, CAST(coalesce(sum(g.n), 0) AS BIGINT) AS removable
+FROM islands i LEFT JOIN gone g ON g.doc_id = i.doc_id AND g.s = i.s GROUP BY i.doc_id, i.island
+"""
+
 NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP10_SQL = f"""
@@ -121,4 +147,4 @@ FROM docs WINDOW w AS (PARTITION BY t)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_near_dup": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL}

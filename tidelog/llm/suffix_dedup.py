@@ -10,7 +10,7 @@ maximal spans.
 
 A suffix moves as two numbers; only documents with a shared suffix are read again, for the words around it. A key that
 more than HOT suffixes share is not sorted in one task: its windows are hashed and counted by Spark instead, which
-finds the same windows.
+finds the same windows; while such keys are few enough to broadcast, their suffixes are not dealt by key at all.
 
 Defined cases: null text counts as empty; texts under LEAST words have no span; a passage that repeats only within one
 document is no match; rows with equal doc_id and text are one document and give one result; in `removable` the copy in
@@ -31,6 +31,8 @@ from tidelog.llm import common
 LEAST, SPAN, GRAM = 50, 24, 8
 RIGHT = LEAST - SPAN + 1
 HOT = 20_000
+#: Hot keys that are broadcast (eight bytes each).
+BROADCAST = 200_000
 
 
 def minimisers(words: np.ndarray) -> np.ndarray:
@@ -147,7 +149,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in common.whole_groups(batches, "doc"):
         doc, start, end, later = (t.column(c).to_numpy() for c in ("doc", "start", "end", "later"))
         bounds = common.group_bounds(doc)
-        rows, lo, hi, gone = [], [], [], []
+        rows, lo, hi, gone, copies = [], [], [], [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             spans: tuple[list, list] = ([], [])
             for s, e, k in zip(start[a:b].tolist(), end[a:b].tolist(), later[a:b].tolist()):
@@ -158,22 +160,37 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held.append([s, e])
             i = 0
             for s, e in spans[0]:
-                words = 0
+                later_ones = []
                 while i < len(spans[1]) and spans[1][i][0] < e:
-                    words += spans[1][i][1] - spans[1][i][0]
+                    later_ones.append({"start_word": spans[1][i][0], "end_word": spans[1][i][1]})
                     i += 1
-                for c, v in zip((rows, lo, hi, gone), (a, s, e, words)):
+                for c, v in zip((rows, lo, hi, gone, copies), (a, s, e, sum(x["end_word"] - x["start_word"] for x in later_ones), later_ones)):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(pa.array(rows, pa.int64())), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "start_word", "end_word", "removable"])
+        held = [t.column(c).combine_chunks().take(pa.array(rows, pa.int64())) for c in ("doc", "doc_id")]
+        yield pa.RecordBatch.from_arrays([*held, pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(gone, pa.int64()), pa.array(copies, _SPANS)], ["doc", "doc_id", "start_word", "end_word", "removable", "later_copies"])
+
+
+_SPANS = pa.list_(pa.struct([("start_word", pa.int64()), ("end_word", pa.int64())]))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start_word, end_word and removable: the maximal spans (in words, the end exclusive) whose every LEAST
-    consecutive words stand in some other document too, and how many words of each are copies of an earlier document."""
+    """doc_id, start_word, end_word, removable and later_copies: the maximal spans (in words, the end exclusive) whose
+    every LEAST consecutive words stand in some other document too, how many words of each are copies of an earlier
+    document, and where these are."""
+    return _passages(docs).drop("doc")
+
+
+def _passages(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     suffixes = common.materialise(common.map_arrow(rows.select("doc", "text"), _suffixes, "doc long, pos int, key long"), "suffixes")
     keys = suffixes.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("p"), F.max("doc").alias("q")).where("p != q").select("key", (F.col("n") > HOT).alias("hot"))
-    shared = suffixes.join(keys, "key")
+    keys = common.materialise(keys, "keys")
+    hot_keys = keys.where("hot").select("key")
+    if 0 < hot_keys.count() <= BROADCAST:
+        hot_keys = F.broadcast(hot_keys)
+        shared = suffixes.join(hot_keys, "key", "left_anti").join(keys.where("not hot"), "key").unionByName(suffixes.join(hot_keys, "key").withColumn("hot", F.lit(True)))
+    else:
+        shared = suffixes.join(keys, "key")
     places = shared.groupBy("doc").agg(F.collect_set(F.when(~F.col("hot"), F.col("pos"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("pos"))).alias("hot"))
     again = rows.join(places, "doc").select("doc", "doc_id", "text", "cold", "hot")
     around = common.materialise(common.map_arrow(again, _contexts, "key long, pos int, around binary, rest int, doc long, doc_id long"), "around")
@@ -184,4 +201,32 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     groups = windows.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first != last").select("key", "first")
     hot = windows.join(groups, "key").select("doc", "doc_id", "start", "end", F.explode(F.when(order != F.col("first"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("later"))
     every = spans.unionByName(hot).repartition("doc").sortWithinPartitions("doc", "start")
-    return common.map_arrow(every, _merge, "doc_id long, start_word long, end_word long, removable long")
+    return common.map_arrow(every, _merge, "doc long, doc_id long, start_word long, end_word long, removable long, later_copies array<struct<start_word:long,end_word:long>>")
+
+
+def without_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text without the words of ordered spans, and without the white space that follows each of these words."""
+    _, starts, _ = common.word_hashes(text)
+    starts = np.append(starts, len(text))
+    out, at = [], 0
+    for a, b in spans:
+        out.append(text[at : starts[a]])
+        at = int(starts[b])
+    return b"".join([*out, text[at:]])
+
+
+def remove_passages(docs: DataFrame) -> DataFrame:
+    """docs with texts rebuilt without the later copies of passages; null texts stay null, all other columns pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in common.small_batches(whole, 1):
+                texts = [without_words(t, [(s["start_word"], s["end_word"]) for s in spans]).decode() for t, spans in zip(common.blobs(b.column(1)), b.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["_sd_doc", "_sd_text"])
+
+    each = _passages(docs).groupBy("doc").agg(F.sort_array(F.flatten(F.collect_list("later_copies"))).alias("spans")).where(F.size("spans") > 0)
+    keyed = docs.withColumn("_sd_doc", F.xxhash64("doc_id", "text"))
+    cut = keyed.select("_sd_doc", "text").join(each.withColumnRenamed("doc", "_sd_doc"), "_sd_doc").dropDuplicates(["_sd_doc"])
+    cut = common.materialise(common.map_arrow(cut.select("_sd_doc", "text", "spans"), run, "_sd_doc long, _sd_text string"), "cut")
+    out = keyed.join(cut, "_sd_doc", "left")
+    return out.withColumn("text", F.coalesce("_sd_text", "text")).select(*docs.columns)
