@@ -63,6 +63,85 @@ def test_quadratic_discriminant_against_densities():
     assert model.gaps(x) == pytest.approx(dens[1] - dens[0] + math.log(0.3 / 0.7))
 
 
+def test_fit_against_a_plain_one(spark, docs):
+    """Means, shrunken covariances and the scores of new texts, from the statistics of each row."""
+    import random
+
+    rng = random.Random(6)
+    good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(5, 40))) + "." for _ in range(60)]
+    bad = ["".join(rng.choice("!?#0123 \n") for _ in range(rng.randint(10, 200))) for _ in range(50)]
+    d = docs([*good, *bad])
+    model = quality.fit(quality.features(d), labels(spark, [(i, int(i < 60), 0) for i in range(110)]))
+    x = np.array([quality.statistics(t.encode()) for t in [*good, *bad]])
+    y = np.arange(110) < 60
+    centre, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-6))
+    assert model.centre == pytest.approx(centre, abs=1e-6) and model.scale == pytest.approx(scale, abs=1e-4) and model.prior == pytest.approx(60 / 110)
+    covs = [np.cov(((x - centre) / scale)[y == k].T, bias=True) for k in (False, True)]
+    pooled = (50 * covs[0] + 60 * covs[1]) / 110
+    for k in (0, 1):
+        c = (1 - quality.TO_POOLED) * covs[k] + quality.TO_POOLED * pooled
+        c = (1 - quality.TO_SPHERE) * c + quality.TO_SPHERE * np.trace(c) / quality.SIZE * np.eye(quality.SIZE) + 1e-9 * np.eye(quality.SIZE)
+        precision = model.factors[k].T @ model.factors[k]
+        assert precision @ c == pytest.approx(np.eye(quality.SIZE), abs=2e-2)
+        assert model.logdets[k] == pytest.approx(np.linalg.slogdet(c)[1], abs=1e-2)
+    wrong = lambda shift: int(((model.gaps(x) > shift) != y).sum())
+    assert wrong(model.shift) <= min(wrong(s) for s in np.arange(-50, 50, 0.25)) + 1
+
+
+def test_statistics_by_hand():
+    s = quality.statistics(b"Aa bb. Aa\n\nbb")
+    assert s[0] == pytest.approx(math.log1p(13)) and s[1] == pytest.approx(math.log1p(4)) and s[2] == pytest.approx((2 + 3 + 2 + 2) / 4)
+    counts = Counter(b"Aa bb. Aa\n\nbb")
+    assert s[9] == pytest.approx(-sum(c / 13 * math.log2(c / 13) for c in counts.values()))
+
+
+def test_window_lengths_against_plain_compression():
+    """Windows hold all words in order; what a window saves is the difference of two compressions with raw dictionaries."""
+    import random
+
+    import zstandard
+
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 12))) for _ in range(300)) + " " + "w" * 200
+    ws = toxicity.windows(text.upper().encode())
+    folded = text.upper().replace("É", "É").encode().translate(toxicity._FOLD).split()
+    assert b"".join(w.replace(b" ", b"") for w in ws) == b"".join(folded) and max(map(len, ws)) <= toxicity.WINDOW + 2
+    ordinary, toxic = ws[3] * 3 + ws[5], ws[10] + ws[12]
+    params = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, min_match=3, write_checksum=0, write_content_size=0, write_dict_id=0)
+    plain = lambda content, w: len(zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(w))
+    want = [plain(ordinary, w) - plain(toxic + ordinary, w) for w in ws]
+    got = toxicity.Gains(ordinary, toxic).of(ws).tolist()
+    assert max(abs(a - b) for a, b in zip(got, want)) <= 2 and got[10] > 10 and got[12] > 10
+
+
+def test_pieces_are_measured_on_all_windows():
+    """A window that shares no GRAM bytes with a piece isn't shortened by it."""
+    import random
+
+    rng = random.Random(9)
+    ws = [(" " + " ".join(rng.choice(["lorem", "ipsum", "dolor", "vicious", "amet"]) for _ in range(8)) + " ").encode() for _ in range(200)]
+    ordinary = b" lorem ipsum dolor amet lorem dolor ipsum "
+    found = toxicity.Measure(ws, ordinary)
+    for piece in (b" vicious lor", b" ipsum dolor", b"nothing here"):
+        both, base = toxicity.coder(piece + ordinary), toxicity.coder(ordinary)
+        want = sum(len(base.compress(w)) - len(both.compress(w)) >= toxicity.SAVED for w in ws if any(piece[i : i + toxicity.GRAM] in w for i in range(len(piece) - toxicity.GRAM + 1)))
+        assert found.shortened(piece, both) == want
+    assert found.shortened(b" vicious lor", toxicity.coder(b" vicious lor" + ordinary)) > 50
+
+
+def test_models_with_clashing_names_and_long_texts(spark, docs):
+    rng = np.random.default_rng(1)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 40_000, 300_000).tolist())
+    d = docs([long, long, "x" * 2_000_000, "a b", None])
+    more = d.withColumns({c: F.lit("mine") for c in ("part", "block", "data", "held", "label", "x0", "score", "key")})
+    ls = labels(spark, [(0, 1, 1), (2, 0, 0), (3, 0, 0)])
+    assert rows(lm(more), "doc_id", "n_tokens", "score") == rows(lm(d), "doc_id", "n_tokens", "score")
+    for module, column in ((quality, "quality"), (toxicity, "toxic")):
+        fit = (lambda x: quality.fit(quality.features(x), ls)) if module is quality else (lambda x: toxicity.fit(x, ls))
+        a, b = (rows(module.score(x.select("doc_id", "text", *x.columns[5:]), fit(x)), "doc_id", "score") for x in (d, more))
+        assert a == b and a[0][1] == a[1][1]
+
+
 def test_toxicity_edges(spark, docs):
     toxic = [f"you are a horrid fool number{i} and a horrid fool again" for i in range(30)]
     plain = [f"the garden was quiet today and bird{i} sang in the tree" for i in range(60)]

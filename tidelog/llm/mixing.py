@@ -9,7 +9,7 @@ that the join is dealt by source and adaptive execution splits the hot one.
 
 Defined cases: null text has size 0; null is a source of its own, last in order; a source of size 0 has target 0 and
 its documents are taken 0 times; repeated rows draw alike, as they share doc_id; a null doc_id draws by the text
-`null`; other columns pass through, those named like the results are replaced.
+`null`; other columns pass through, those named like the results are replaced; no documents give none.
 """
 
 from __future__ import annotations
@@ -58,9 +58,14 @@ def draw(doc_id: F.Column, seed: str) -> F.Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the document)."""
-    docs = docs.drop("size", "source_size", "target", "copies", "copy")
-    targets = common.materialise(source_targets(sizes(docs), weights, cap), "targets").withColumnRenamed("source", "target_source")
-    out = sizes(docs).join(targets, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
+    return mix_sized(sizes(docs.drop("size")), weights, cap, seed)
+
+
+def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """The same of documents whose sizes are there; texts are not needed."""
+    sized = sized.drop("source_size", "target", "copies", "copy")
+    targets = common.materialise(source_targets(sized.select("source", "size"), weights, cap), "targets").withColumnRenamed("source", "_mix_source")
+    out = sized.join(targets, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     return out.withColumn("copies", whole + F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0))

@@ -44,7 +44,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    sized = materialise(mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"), "sized")
+    mixed = mixing.mix_sized(sized)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
