@@ -47,6 +47,11 @@ def method_of(path: Column) -> Column:
     return F.split_part(path, F.lit("/"), F.lit(3))
 
 
+def url_decoded(text: Column) -> Column:
+    """Text with its percent signs resolved; as it is where they are not well-formed."""
+    return F.coalesce(F.try_url_decode(text), text)
+
+
 # Names of the status codes, in order.
 STATUS_NAMES = (
     "Ok", "Cancelled", "Unknown", "InvalidArgument", "DeadlineExceeded", "NotFound", "AlreadyExists", "PermissionDenied", "ResourceExhausted",

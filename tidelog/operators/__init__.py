@@ -1 +1 @@
-"""Operators over operation logs and manifests: DataFrames in, DataFrames out, no IO."""
+"""Operators over operation logs and manifests: DataFrames in, DataFrames out; ordered ones write ranges to the scratch folder."""

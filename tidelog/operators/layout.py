@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tidelog.operators import ordering
 from tidelog.sources.schema import DELETE_OVERHEAD, PUT, PUT_OVERHEAD, RUN_OVERHEAD
 
 
@@ -43,30 +44,83 @@ def split_sized(ops: DataFrame, most: int, by: Sequence[str], order: str = "key"
     """ops, whose `size` column has the bytes of each operation, with `run`, the number of the run of at most `most`
     bytes that it falls in, group by group.
 
-    The rule is sequential: it needs a group's sizes in order, and nothing else of it. Each group is streamed once by
-    one task in Arrow batches with two numbers of state, so memory doesn't grow with a group.
+    The rule is sequential, but two splits that start apart soon meet in a common end of a run. So each range of a group
+    is split as if a run began there, in parallel; then again with what the range before it left, until nothing changes,
+    which takes two or three rounds (at most as many as a group has ranges). A range is streamed by one task with two
+    numbers of state; the driver holds a few numbers for each range of groups that have several.
     """
     by = list(by)
-    schema = StructType([*ops.schema.fields, StructField("run", LongType())])
-
-    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, run, held = None, 0, 0
-        for f in frames:
-            keys = list(zip(*[f[c] for c in by]))
-            runs: list[int] = []
-            at = 0
-            while at < len(f):
-                end = at + 1
-                while end < len(f) and keys[end] == keys[at]:
-                    end += 1
-                if keys[at] != group:
-                    group, run, held = keys[at], 0, 0
-                part, run, held = split_points(f[size].iloc[at:end].tolist(), most, run, held)
-                runs += part
-                at = end
+    rows = ordering.spread(ops, by, [order])
+    keys = [*by, ordering.BUCKET]
+    narrow = rows.select(*keys, F.col(order).alias("_order"), F.col(size).alias("_size"))
+    several = narrow.select(*keys).distinct().groupBy(*by).agg(F.count("*").alias("n"), F.sort_array(F.collect_set(ordering.BUCKET)).alias("buckets")).where("n > 1").collect()
+    chains = [[(*[r[c] for c in by], x) for x in r["buckets"]] for r in several]
+    left: dict[tuple, tuple[int, int]] = {}  # run and bytes at the start of each range but the first
+    if chains:
+        wanted = narrow.join(F.broadcast(rows.sparkSession.createDataFrame([k for c in chains for k in c], StructType([rows.schema[c] for c in keys]))), keys, "left_semi")
+        wanted = wanted.repartition(*keys).sortWithinPartitions(*keys, "_order")
+        fields = [f for f in rows.schema.fields if f.name in keys]
+        while True:
+            ends = wanted.mapInPandas(_ends(keys, {k: held for k, (_, held) in left.items()}, most), StructType([*sorted(fields, key=lambda f: keys.index(f.name)), StructField("runs", LongType()), StructField("held", LongType())]))
+            found = {tuple(r[c] for c in keys): (r["runs"], r["held"]) for r in ends.collect()}
+            now: dict[tuple, tuple[int, int]] = {}
+            for chain in chains:
+                run = 0
+                for before, k in zip(chain, chain[1:]):
+                    run += found[before][0]
+                    now[k] = (run, found[before][1])
+            same = {k: v[1] for k, v in now.items()} == {k: v[1] for k, v in left.items()}
+            left = now
+            if same:
+                break
+    schema = StructType([*rows.schema.fields, StructField("run", LongType())])
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, order)
+    return dealt.mapInPandas(_numbered(keys, left, most, size), schema).drop(ordering.BUCKET)
+
+
+def _chunks(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, int, pd.DataFrame]]:
+    """Parts of frames that belong to one range: its key, how many parts of it came before, and the part."""
+    last, n = None, 0
+    for f in frames:
+        each = list(zip(*[f[c] for c in keys]))
+        at = 0
+        while at < len(f):
+            end = at + 1
+            while end < len(f) and each[end] == each[at]:
+                end += 1
+            n = n + 1 if each[at] == last else 0
+            last = each[at]
+            yield last, n, f.iloc[at:end]
+            at = end
+
+
+def _ends(keys: list[str], held_before: dict[tuple, int], most: int):
+    """Of each range: how many runs it opens besides the one it starts in, and the bytes held at its end."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, (0, 0)
+        for key, n, f in _chunks(frames, keys):
+            if not n:
+                if now is not None:
+                    yield pd.DataFrame([(*now, *state)], columns=[*keys, "runs", "held"])
+                now, state = key, (0, held_before.get(key, 0))
+            _, *state = split_points(f["_size"].tolist(), most, *state)
+        if now is not None:
+            yield pd.DataFrame([(*now, *state)], columns=[*keys, "runs", "held"])
+
+    return run
+
+
+def _numbered(keys: list[str], left: dict[tuple, tuple[int, int]], most: int, size: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = (0, 0)
+        for key, n, f in _chunks(frames, keys):
+            if not n:
+                state = left.get(key, (0, 0))
+            runs, *state = split_points(f[size].tolist(), most, *state)
             yield f.assign(run=runs)
 
-    return ops.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(number, schema)
+    return run
 
 
 def split_runs(ops: DataFrame, most: int, by: Sequence[str], order: str = "key") -> DataFrame:
@@ -77,13 +131,12 @@ def split_runs(ops: DataFrame, most: int, by: Sequence[str], order: str = "key")
 def floor_route(keys: DataFrame, runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """For each key the run with the greatest min_key that is not above it; keys below all runs are absent.
 
-    The floor is a running maximum over the union of keys and starts, so it needs one sort and no inequality join.
+    The floor is the last start along the union of keys and starts, so it needs one sort and no inequality join.
     """
     by = list(by)
     starts = runs.select(*by, F.col("min_key").alias("key"), F.struct("min_key", "run_id").alias("start"), F.lit(0).alias("side"))
     asked = keys.select(*by, "key", F.lit(None).cast(starts.schema["start"].dataType).alias("start"), F.lit(1).alias("side"))
-    order = Window.partitionBy(*by).orderBy("key", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = starts.unionByName(asked).withColumn("floor", F.last("start", ignorenulls=True).over(order))
+    both = ordering.last_before(starts.unionByName(asked), by, ["key", "side"], F.col("start"), "floor", own=True)
     return both.where("side = 1 and floor is not null").select(*by, "key", "floor.run_id", "floor.min_key")
 
 

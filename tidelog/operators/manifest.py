@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators import ordering
+
 #: When compactions and snapshots are due.
 WAL_BYTES, WAL_RUNS = 100_000_000, 25
 BUFFER_BYTES, BUFFER_RUNS = 100_000_000, 25
@@ -96,4 +98,4 @@ def newest_snapshot(snapshots: DataFrame) -> DataFrame:
 
 def numbered(runs: DataFrame, first_seq: int, order: str) -> DataFrame:
     """Sequence numbers of the runs of a commit, from the first reserved one."""
-    return runs.withColumn("seq_no", (F.lit(first_seq).cast("long") + F.row_number().over(Window.orderBy(order)) - 1))
+    return ordering.ranked(runs, [], [order], "seq_no").withColumn("seq_no", F.col("seq_no") + F.lit(first_seq).cast("long"))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators import ordering
 from tidelog.sources.schema import PUT
 
 #: Bounds of a scan's page.
 LEAST_PAGE, LARGEST_PAGE = 1, 10_000
+#: Up to so many requested keys become a filter of the scan.
+PUSHED_KEYS = 2000
 
 
 class InvalidArgument(ValueError):
@@ -58,18 +61,27 @@ def only_once(ops: DataFrame, by: Sequence[str] = ("table_name", "key")) -> Data
     return one.select(*by, checked.alias("row")).select(*by, "row.*").select(*ops.columns)
 
 
+def requested(ops: DataFrame, requests: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The operations on requested keys. Up to PUSHED_KEYS of them become a filter, which reaches the statistics of the
+    files where the key is a column of theirs."""
+    few = [r["key"] for r in requests.select("key").distinct().limit(PUSHED_KEYS + 1).collect()]
+    if len(few) <= PUSHED_KEYS:
+        ops = ops.where(F.col("key").isin(few))
+    return ops.join(requests.select(*by).distinct(), list(by), "left_semi")
+
+
 def get_batch(ops: DataFrame, requests: DataFrame, by: Sequence[str] = ("table_name", "key")) -> DataFrame:
     """Visible rows of the requested keys of any number of tables, each once; missing and deleted keys are absent.
 
     The requests filter the log before the merge. Spark broadcasts them when their size allows.
     """
-    return visible(latest_wins(ops.join(requests.select(*by).distinct(), list(by), "left_semi"), by))
+    return visible(latest_wins(requested(ops, requests, by), by))
 
 
 def get_states(ops: DataFrame, requests: DataFrame, by: Sequence[str] = ("table_name", "key")) -> DataFrame:
     """Every requested key with its state: found, tombstone or not_found."""
     wanted = requests.select(*by).distinct()
-    merged = latest_wins(ops.join(wanted, list(by), "left_semi"), by)
+    merged = latest_wins(requested(ops, wanted, by), by)
     state = F.when(F.col("op").isNull(), "not_found").when(F.col("op") == PUT, "found").otherwise("tombstone")
     return wanted.join(merged, list(by), "left").select(*by, state.alias("state"), "value")
 
@@ -93,15 +105,16 @@ def scan(ops: DataFrame, start: str | None = None, limit: int | None = None, by:
 
 def pages(ops: DataFrame, size: int, by: Sequence[str] = ("table_name", "key")) -> DataFrame:
     """All visible rows with the page of `size` rows that each falls on in its table."""
-    order = Window.partitionBy(*[c for c in by if c != "key"]).orderBy("key")
-    return visible(latest_wins(ops, by)).withColumn("page", F.floor((F.row_number().over(order) - 1) / check_page(size)))
+    check_page(size)
+    rows = ordering.ranked(visible(latest_wins(ops, by)), [c for c in by if c != "key"], ["key"], "page")
+    return rows.withColumn("page", F.floor(F.col("page") / size))
 
 
 def run_page(run: DataFrame, limit: int, by: Sequence[str] = ()) -> DataFrame:
     """One run's rows in key order until `limit` puts were seen; deletes don't count and are returned."""
-    order = Window.partitionBy(*by).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum((F.col("op") == PUT).cast("long")).over(order), F.lit(0))
-    return run.withColumn("before", before).where(F.col("before") < check_page(limit)).drop("before")
+    check_page(limit)
+    rows = ordering.summed_before(run, by, ["key"], (F.col("op") == PUT).cast("long"), "before")
+    return rows.where(F.col("before") < limit).drop("before")
 
 
 def listed_runs(ops: DataFrame, run_ids: Sequence, run: str = "run_id") -> DataFrame:
@@ -117,8 +130,8 @@ def as_of(ops: DataFrame, seq_no: int, version: str = "seq_no", by: Sequence[str
 
 def order_violations(ops: DataFrame, by: Sequence[str], position: str) -> DataFrame:
     """Rows of each group whose key is not greater than the one before."""
-    before = F.lag("key").over(Window.partitionBy(*by).orderBy(position))
-    return ops.withColumn("before", before).where(F.col("key") <= F.col("before")).groupBy(*by).agg(F.count("*").alias("violations"))
+    rows = ordering.last_before(ops.select(*by, position, "key"), by, [position], F.col("key"), "before", own=False)
+    return rows.where(F.col("key") <= F.col("before")).groupBy(*by).agg(F.count("*").alias("violations"))
 
 
 def clamp(value: Column, low: int, high: int) -> Column:

@@ -311,6 +311,20 @@ def job_names(spark, sf_dir):
     return both.select("name", scalars.job_id_of(F.col("name")).alias("job_id"))
 
 
+@query(body="""WITH p AS (SELECT event_id, '/kv.Store/' || event_type || CAST(event_id % 4 AS VARCHAR) AS plain FROM events)
+SELECT event_id, plain AS path, split_part(plain, '/', 3) AS method FROM p""")
+def request_paths(spark, sf_dir):
+    """Paths as they come in, with slashes escaped, and the methods that they name."""
+    path = scalars.url_decoded(F.concat(F.lit("%2Fkv.Store%2f"), "event_type", (F.col("event_id") % 4).cast("string")))
+    return base.events(spark, sf_dir).select("event_id", path.alias("path"), scalars.method_of(path).alias("method"))
+
+
+@query("requested_jobs", body="SELECT job_id FROM requested_jobs WHERE status = 'pending' AND job_id % 4 = 0")
+def jobs_still_known(spark, sf_dir):
+    jobs = base.requested_jobs(spark, sf_dir)
+    return manifest.still_known(jobs.where("job_id % 4 = 0").select("job_id"), jobs)
+
+
 # uses
 
 

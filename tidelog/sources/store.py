@@ -28,8 +28,6 @@ from tidelog.sources.schema import PUT, RUNS
 
 #: Lists of tables and runs of up to so many rows are broadcast; longer ones are joined as Spark sees fit.
 BROADCAST_ROWS = 10_000
-#: Up to so many requested keys become a filter of the scan.
-PUSHED_KEYS = 2000
 #: A job that failed so often has failed; after the first attempt it waits so many seconds, twice as long after each.
 ATTEMPTS, BACKOFF = 3, 10.0
 #: A worker that has held a job for so many seconds counts as lost.
@@ -344,7 +342,7 @@ class Store:
             return (r["table_id"] is None or r["table_id"] in ids) and at < len(keys) and keys[at] <= r["max_key"]
 
         ops = self.read_runs([r for r in state.in_order() if meets(r)]).where(F.col("table_id").isin(sorted(ids)))
-        if len(keys) <= PUSHED_KEYS:  # reaches the files' statistics
+        if len(keys) <= merge.PUSHED_KEYS:  # reaches the files' statistics
             ops = ops.where(F.col("key").isin(keys))
         ops = ops.join(wanted, ["table_id", "key"])
         return merge.visible(merge.first_wins(ops, ("table_id", "key"))).select("table_name", "key", "value")
