@@ -6,7 +6,8 @@ are covered. Covered positions of a document are merged into spans and the text
 induction over the order a removed line has an equal line earlier that stays.
 
 A window that a third of all rows share is combined before the shuffle; the join back to its occurrences is a
-sort-merge join whose large partitions adaptive execution splits. Texts are dealt once, by doc_id.
+sort-merge join whose large partitions adaptive execution splits. Texts stay where they are while the spans are few
+enough to broadcast; beyond that they are dealt once, by doc_id.
 
 Defined cases: null text stays null with 0 lines; texts under three lines stay as they are; three empty lines are no
 window; rows with equal doc_id and equal text are one document and come out alike; ties have no effect as positions
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from tidelog.llm import common
 
 LINES = 3
+#: Documents with spans, and spans, of some 40 bytes each, that are broadcast.
+BROADCAST = 300_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -53,7 +56,9 @@ def covered_spans(found: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text rebuilt without its covered lines, and n_lines and n_removed (lines) as long."""
-    spans = covered_spans(windows(_keyed(docs))).withColumnsRenamed({"_ld_id": "_ld_sid", "_ld_th": "_ld_sth"})
+    spans = common.materialise(covered_spans(windows(_keyed(docs))).withColumnsRenamed({"_ld_id": "_ld_sid", "_ld_th": "_ld_sth"}), "spans")
+    if (spans.agg(F.count("*") + F.coalesce(F.sum(F.size("_ld_spans")), F.lit(0))).first()[0]) <= BROADCAST:
+        spans = F.broadcast(spans)
     lines = _keyed(docs).withColumn("_ld_lines", F.split("text", "\n", -1)).drop("text")
     out = lines.join(spans, F.col("_ld_id").eqNullSafe(F.col("_ld_sid")) & (F.col("_ld_th") == F.col("_ld_sth")), "left").drop("_ld_sid", "_ld_sth")
     n = F.coalesce(F.size("_ld_lines"), F.lit(0)).cast("long")

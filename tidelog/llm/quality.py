@@ -106,6 +106,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.gaps(x) - self.shift, -500, 500)))
 
 
+#: Labelled ids that are broadcast (eight bytes each).
+BROADCAST = 300_000
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The statistics of the labelled rows, as fit takes them; of all rows where the labels are too many to broadcast."""
+    ids = common.materialise(labels.select(F.col("doc_id").cast("long").alias("_labelled")).distinct(), "labelled")
+    if ids.count() <= BROADCAST:
+        docs = docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("_labelled"), "left_semi")
+    return common.materialise(features(docs), "quality")
+
+
 def fit(feats: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
     """labels: doc_id and the column, the training rows only."""
     labels = labels.select(F.col("doc_id").cast("long"), F.col(column).cast("int").alias("label")).where("label in (0, 1)")
