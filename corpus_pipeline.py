@@ -22,8 +22,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents whose score is 0.5 or more; labels with crc32(doc_id) mod 3 = 1 stay held out. Null and empty texts are
     scored like any other, and without labels of both classes the share of label 1 decides."""
     labels = common.table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    feats = common.materialise(quality.features(docs), "quality")
-    return quality.score(docs.select(*COLUMNS), quality.fit(feats, labels)).where("score >= 0.5").select(*COLUMNS)
+    model = quality.fit(quality.labelled_features(docs, labels), labels)
+    return quality.score(docs.select(*COLUMNS), model).where("score >= 0.5").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
