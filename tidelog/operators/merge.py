@@ -113,7 +113,7 @@ def pages(ops: DataFrame, size: int, by: Sequence[str] = ("table_name", "key"))
 def run_page(run: DataFrame, limit: int, by: Sequence[str] = ()) -> DataFrame:
     """One run's rows in key order until `limit` puts were seen; deletes don't count and are returned."""
     check_page(limit)
-    rows = ordering.summed_before(run, by, ["key"], (F.col("op") == PUT).cast("long"), "before")
+    rows = ordering.summed_before(run, by, ["key"], {"before": (F.col("op") == PUT).cast("long")})
     return rows.where(F.col("before") < limit).drop("before")
 
 

@@ -28,13 +28,13 @@ def within(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by, BUCKET).orderBy(*order)
 
 
-def carried(rows: DataFrame, by: Sequence[str], summary: Column, fold: str) -> DataFrame:
-    """rows with _carried: the summary of each range before, folded over the ranges of the group ("sum" of numbers, or
-    "last" that isn't null); null in the first range."""
+def carried(rows: DataFrame, by: Sequence[str], summaries: dict[str, Column], fold: str) -> DataFrame:
+    """rows with the summaries of each range before, folded over the ranges of the group ("sum" of numbers, or "last"
+    that isn't null); null in the first range."""
     before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    each = rows.groupBy(*by, BUCKET).agg(summary.alias("_own"))
-    each = each.withColumn("_carried", F.sum("_own").over(before) if fold == "sum" else F.last("_own", ignorenulls=True).over(before)).drop("_own")
-    each = each.select(*[F.col(c).alias(f"_c_{c}") for c in (*by, BUCKET)], "_carried")
+    each = rows.groupBy(*by, BUCKET).agg(*[x.alias(n) for n, x in summaries.items()])
+    folded = [(F.sum(n) if fold == "sum" else F.last(n, ignorenulls=True)).over(before).alias(n) for n in summaries]
+    each = each.select(*[F.col(c).alias(f"_c_{c}") for c in (*by, BUCKET)], *folded)
     on = F.lit(True)
     for c in (*by, BUCKET):
         on = on & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
@@ -43,22 +43,24 @@ def carried(rows: DataFrame, by: Sequence[str], summary: Column, fold: str) -> D
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """df with the place of each row in its group, from 0."""
-    rows = carried(spread(df, by, order), by, F.count("*"), "sum")
+    rows = carried(spread(df, by, order), by, {"_carried": F.count("*")}, "sum")
     at = F.row_number().over(within(by, order)) - 1 + F.coalesce("_carried", F.lit(0))
     return rows.withColumn(name, at.cast("long")).drop(BUCKET, "_carried")
 
 
-def summed_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
-    """df with the sum of value over the rows before in the group."""
-    rows = carried(spread(df.withColumn("_value", value), by, order), by, F.sum("_value"), "sum")
-    own = F.sum("_value").over(within(by, order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn(name, F.coalesce(own, F.lit(0)) + F.coalesce("_carried", F.lit(0))).drop(BUCKET, "_carried", "_value")
+def summed_before(df: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """df with the sums of values over the rows before in the group, 0 for the first."""
+    held = spread(df.withColumns({f"_v_{n}": v for n, v in values.items()}), by, order)
+    rows = carried(held, by, {f"_s_{n}": F.sum(f"_v_{n}") for n in values}, "sum")
+    before = within(by, order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {n: F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)) + F.coalesce(f"_s_{n}", F.lit(0)) for n in values}
+    return rows.withColumns(sums).drop(BUCKET, *[f"_{k}_{n}" for n in values for k in "vs"])
 
 
 def last_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, own: bool) -> DataFrame:
     """df with the last value that isn't null among the rows before in the group, with own that of the row itself first."""
     rows = spread(df.withColumn("_value", value), by, order)
     summary = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
-    rows = carried(rows, by, summary, "last")
+    rows = carried(rows, by, {"_carried": summary}, "last")
     near = F.last("_value", ignorenulls=True).over(within(by, order).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
     return rows.withColumn(name, F.coalesce(near, "_carried")).drop(BUCKET, "_carried", "_value")
