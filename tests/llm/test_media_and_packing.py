@@ -209,3 +209,17 @@ def test_mixing(spark, docs):
         assert abs(sum(r["size"] * r["copies"] for r in own) - target) <= 0.15 * target
     assert mixing.emit(out).count() == sum(r["copies"] for r in held)
     assert mixing.mix(docs([])).count() == 0 and rows(mixing.mix(docs([(1, "")])), "copies") == [(0,)]
+
+
+def test_pieces_are_encoded_as_the_tokenizer_does():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, piece, rng = Tokenizer.from_file(path), packing.piece_encoder(path), random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEéüßñçøłжшд中文字日本ا한글"
+    words = [rng.choice(["", " "]) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(20_000)]
+    assert [piece(w.encode()) for w in words] == [x.ids for x in tok.encode_batch(words, add_special_tokens=False)]
+    assert packing.piece_encoder(public_tokenizers.path("word_bpe_49k.json")) is None

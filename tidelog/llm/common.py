@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,57 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidelog.shipping import ship
+from tidelog.sources.scratch import discard  # noqa: F401  (part of what operators use)
+from tidelog.sources.scratch import written as materialise
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_OWN_DIR: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. Where that is unset, a temporary folder if all runs on this
-    machine (it goes when the process ends), else one in the warehouse."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and spark.sparkContext.master.split("[")[0] == "local":
-        if "path" not in _OWN_DIR:
-            _OWN_DIR["path"] = tempfile.mkdtemp(prefix="tidelog-")
-            atexit.register(shutil.rmtree, _OWN_DIR["path"], ignore_errors=True)
-        path = _OWN_DIR["path"]
-    return (path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidelog-scratch").rstrip("/")
-
-
-#: Lets Spark delete the shuffle files of a query when it ends. A query that is run again makes them again.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, a lost executor costs nothing, later plans
-    know the true size, and the shuffles behind it take no more disk."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a materialised table which nothing that is still to run reads."""
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)

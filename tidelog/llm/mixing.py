@@ -5,7 +5,8 @@ rate = target / source size, plus once more where a hash of its doc_id and the s
 
 The hot source costs nothing extra: sums are combined before the shuffle, and the table of sources (a row for each)
 is written out, so Spark knows its size and broadcasts it only below spark.sql.autoBroadcastJoinThreshold; beyond
-that the join is dealt by source and adaptive execution splits the hot one.
+that the join is dealt by source and adaptive execution splits the hot one. Sources, which may be many, are ranked and
+summed along their order by ranges.
 
 Defined cases: null text has size 0; null is a source of its own, last in order; a source of size 0 has target 0 and
 its documents are taken 0 times; repeated rows draw alike, as they share doc_id; a null doc_id draws by the text
@@ -14,10 +15,11 @@ its documents are taken 0 times; repeated rows draw alike, as they share doc_id;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import common
+from tidelog.operators import ordering
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -34,20 +36,19 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     Resharing the excess until none is above ends where each target is min(cap * size, level * weight): with the
     sources by cap * size / weight, the level is that of the first source from which the rest can be met.
     """
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull())
     cycle = F.array(*[F.lit(w) for w in weights])
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = by_source.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("double"))
-    ranked = ranked.withColumn("most", F.col("source_size") * cap).withColumn("ratio", F.col("most") / F.col("weight"))
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = ranked.withColumn("total", F.sum("source_size").over(everything)).withColumn("capped", F.coalesce(F.sum("most").over(before), F.lit(0)))
-    level = level.withColumn("left_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    level = level.withColumn("level", (F.col("total") - F.col("capped")) / F.col("left_weight"))
-    level = level.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"])
+    rows = ordering.ranked(by_source, [], ["last", "source"], "at")
+    rows = rows.withColumn("weight", F.element_at(cycle, (F.col("at") % len(weights) + 1).cast("int")).cast("double"))
+    rows = rows.withColumn("most", F.col("source_size") * cap).withColumn("ratio", F.col("most") / F.col("weight"))
+    rows = ordering.summed_before(rows, [], ["ratio", "last", "source"], {"capped": F.col("most"), "weight_before": F.col("weight")})
+    whole = rows.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all_weight"))
+    rows = common.materialise(rows.join(F.broadcast(whole)), "levels")  # one row
+    level = (F.col("total") - F.col("capped")) / (F.col("all_weight") - F.col("weight_before"))
+    first = rows.agg(F.min(F.when(level <= F.col("ratio"), F.struct("ratio", level.alias("level"))))["level"].alias("level"))
     met = F.col("level").isNull() | (F.col("most") <= F.col("level") * F.col("weight"))
-    return level.select("source", "source_size", F.when(met, F.col("most").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
+    rows = rows.join(F.broadcast(first))  # one row
+    return rows.select("source", "source_size", F.when(met, F.col("most").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
 def draw(doc_id: F.Column, seed: str) -> F.Column:
