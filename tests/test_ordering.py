@@ -89,3 +89,14 @@ def test_null_groups_and_nothing(spark, ranges):
     got = rows(ordering.ranked(df, ["g"], ["key"], "at"), "g", "key", "at")
     assert got == sorted([(None, k, i) for i, k in enumerate(sorted(f"k{i}" for i in range(40)))] + [("a", "k", 0)], key=repr)
     assert ordering.ranked(df.where(F.lit(False)), ["g"], ["key"], "at").count() == 0
+
+
+def test_run_files(ops):
+    from tidelog.sources import runfile
+
+    df, held = ops
+    found = runfile.to_run_files(df, 1000, "table_name").orderBy("table_name", "run").collect()
+    for t in ("cold", "hot"):
+        own = [(r[1], r[4].encode() if r[3] == "put" else None) for r in held if r[0] == t]
+        want = [data for data, _ in runfile.encode_runs(own, 1000)]
+        assert [bytes(r["data"]) for r in found if r["table_name"] == t] == want and len(want) > (t == "hot") * 20

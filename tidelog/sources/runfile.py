@@ -6,12 +6,14 @@ Lengths are four bytes, big-endian. Spark keeps runs as Parquet; this is for bri
 from __future__ import annotations
 
 import struct
+import sys
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.operators import layout
 from tidelog.sources.schema import DELETE, DELETE_OVERHEAD, PUT, PUT_OVERHEAD, RUN_OVERHEAD
 
 # Fixed values of the format.
@@ -99,28 +101,30 @@ def read_run_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def to_run_files(ops: DataFrame, most: int, by: str = "table_id") -> DataFrame:
     """Run files of merged operations (by, key, op, value): by, run, min_key, max_key, size_bytes, put_count,
-    delete_count and data. Each group is streamed in key order by one task and holds one run at a time."""
+    delete_count and data. Operations are numbered by run first, over ranges of a group, so each run is encoded by
+    itself and a task holds one run at a time."""
     kind = ops.schema[by].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
             for f in frames:
-                yield from zip(f[by], f["key"], f["op"], f["value"])
+                yield from zip(f[by], f["run"], f["key"], f["op"], f["value"])
 
         every = rows()
         row = next(every, None)
         while row is not None:
-            group, number = row[0], 0
+            group, number = row[:2]
 
             def same() -> Iterator[tuple[str, bytes | None]]:
                 nonlocal row
-                while row is not None and row[0] == group:
-                    yield row[1], (bytes(row[3]) if row[3] is not None else b"") if row[2] == PUT else None
+                while row is not None and row[:2] == (group, number):
+                    yield row[2], (bytes(row[4]) if row[4] is not None else b"") if row[3] == PUT else None
                     row = next(every, None)
 
-            for data, stats in encode_runs(same(), most):
+            # the run's operations fit it already
+            for data, stats in encode_runs(same(), sys.maxsize):
                 yield pd.DataFrame([{by: group, "run": number, **stats, "data": data}])
-                number += 1
 
-    sorted_ops = ops.select(by, "key", "op", F.col("value").cast("binary").alias("value")).repartition(by).sortWithinPartitions(by, "key")
-    return sorted_ops.mapInPandas(run, f"{by} {kind}, run long, min_key string, max_key string, size_bytes long, put_count long, delete_count long, data binary")
+    binary = ops.select(by, "key", "op", F.col("value").cast("binary").alias("value"))
+    numbered = layout.split_runs(binary, most, [by]).repartition(by, "run").sortWithinPartitions(by, "run", "key")
+    return numbered.mapInPandas(run, f"{by} {kind}, run long, min_key string, max_key string, size_bytes long, put_count long, delete_count long, data binary")
