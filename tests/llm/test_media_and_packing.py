@@ -102,13 +102,69 @@ def test_damaged_files():
             gif.read_gif(bad)
 
 
+def plain_gif_pixels(data):
+    """Stored pixels of all frames of a GIF file, by a decoder that takes one code after the other."""
+    at = 13 + 3 * (2 << (data[10] & 7)) * (data[10] >> 7)
+    pixels = bytearray()
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            at += 2
+        else:
+            at += 10 + 1
+            bits = data[at - 1]
+        body = bytearray()
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        if body[:1] and not (len(body) == 4 or body[:11] == b"NETSCAPE2.0") and bits:
+            clear, width, table, before, held, n = 1 << bits, bits + 1, [], None, 0, 0
+            for byte in body:
+                held |= byte << n
+                n += 8
+                while n >= width:
+                    code, held, n = held & (1 << width) - 1, held >> width, n - width
+                    if code == clear:
+                        table, width, before = [bytes([i]) for i in range(clear)] + [b"", b""], bits + 1, None
+                        continue
+                    if code == clear + 1:
+                        break
+                    entry = table[code] if code < len(table) else before + before[:1]
+                    pixels += entry
+                    if before is not None and len(table) < 4096:
+                        table.append(before + entry[:1])
+                    before = entry
+                    if len(table) == 1 << width and width < 12:
+                        width += 1
+    return bytes(pixels)
+
+
 def test_op1_columns(spark, data):
-    out = llm.op1_gif(spark, data).orderBy("doc_id").limit(20).collect()
-    texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    from hashlib import sha256
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    out = llm.op1_gif(spark, data).collect()
+    assert len(out) == len(texts)
     for r in out:
         raw = texts[r["doc_id"]]
         want = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
-        assert (r["payload_bytes"], r["tail_crc32"]) == (len(want), zlib.crc32(want[-16:]))
+        media = gif.write_gif(want)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(want), sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), sha256(media).hexdigest())
+        frames = gif.read_gif(media)[2]
+        assert r["feature"].startswith(f"frames={len(frames)};ms={10 * gif.DELAY * len(frames)};hist=")
+    for raw in sorted(texts.values(), key=len)[::20]:
+        want = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        assert plain_gif_pixels(gif.write_gif(want)) == want
+
+
+def test_op1_edges(spark, docs):
+    from pyspark.sql import functions as F
+
+    d = docs([(1, None), (2, ""), (3, "same"), (3, "same"), (4, "x" * 3_000_000)]).withColumns({c: F.lit("mine") for c in ("media", "samples", "frames", "n_bytes")})
+    out = rows(gif.decode(gif.store(d)), "doc_id", "n_bytes")
+    assert out == [(1, 0), (2, 0), (3, 4), (3, 4), (4, 3_000_000)]
+    assert gif.decode(gif.store(docs([]))).count() == 0
 
 
 def test_gif_feature_is_of_all_frames(spark, docs, tmp_path):
