@@ -361,3 +361,43 @@ def test_the_word_before_counts_itself(docs):
     held = [i for i in range(400, 600) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
     by = {r["doc_id"]: r["score"] for r in lm(docs([*train, (held[0], "ab1xyz left"), (held[1], "ab1xyz right")])).collect()}
     assert by[held[0]] > by[held[1]] + 1
+
+
+def one_by_one(c, t, others, strength, d, p, p_less, key, sweep):
+    """Tables of one word after all of its customers were taken out and seated again, without arrays of words."""
+    key = np.array([key], np.uint64)
+    for step in range(c):
+        head = float(language_model.uniform(key, sweep, 2 * step)[0]) < t / c
+        if head and t == 1:
+            continue
+        t -= head
+        mass = (strength + d * (others + t)) * (p_less if head else p)
+        chance = language_model.opening(np.array([c - 1]), np.array([t]), np.array([mass]), d)[0]
+        t += int(float(language_model.uniform(key, sweep, 2 * step + 1)[0]) < chance)
+    return t
+
+
+@pytest.mark.parametrize("walked", [1 << 17, 200])
+def test_every_customer_of_frequent_words_is_reseated(walked, monkeypatch):
+    """The customers beyond the first RESEATED as well, in runs of any length, as one by one."""
+    monkeypatch.setattr(language_model, "WALKED", walked, raising=False)
+    c = np.array([1, 2, 16, 17, 40, 64, 65, 66, 100, 700, 1025, 3000, 700, 3000])
+    t = np.array([1, 2, 1, 17, 5, 64, 1, 66, 30, 700, 1, 40, 1, 3000])
+    p = np.linspace(0.5, 0.01, len(c))
+    keys = np.arange(len(c), dtype=np.uint64) + np.uint64(5)
+    got = language_model.reseat(c, t, 10.0 + t, 1.0, 0.6, p, 0.9 * p, keys, 3)
+    want = [int(x) if n < 2 else one_by_one(n, int(x), 10.0, 1.0, 0.6, q, 0.9 * q, int(k), 3) for n, x, q, k in zip(c.tolist(), t, p.tolist(), keys)]
+    assert got.tolist() == want
+
+
+def test_frequent_words_reach_their_distribution():
+    """From one table, in as many sweeps as words with few customers need."""
+    c, d, strength, p, n = 1000, 0.5, 1.0, 0.2, 200
+    ks = np.arange(1, c + 1)
+    weight = stirling(c, d)[1:] + ks * math.log(p) + np.cumsum(np.log(strength + d * (10 + np.arange(c))))
+    weight = np.exp(weight - weight.max())
+    t, keys, means = np.ones(n, np.int64), np.arange(n, dtype=np.uint64), []
+    for sweep in range(30):
+        t = language_model.reseat(np.full(n, c), t, 10.0 + t, strength, d, np.full(n, p), np.full(n, p), keys, sweep)
+        means.append(t.mean())
+    assert np.mean(means[15:]) == pytest.approx((ks * weight).sum() / weight.sum(), rel=0.02)

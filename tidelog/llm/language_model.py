@@ -7,9 +7,9 @@ after it; one that opens a table is a customer of the parent.
 
 Seating is sampled by Gibbs in the table-indicator form, whose state is the customers and tables of each word in each
 restaurant: a customer is taken out (with probability tables / customers it is one that opened a table) and seated
-again, by the ratios of generalised Stirling numbers, given all others. A sweep does so for min(customers, RESEATED) of
-each word in each restaurant, level by level; a random part of the customers of a frequent word in each sweep leaves the
-stationary distribution as it is. Parents follow at the end of a level, by as many customers as tables were opened or
+again, by the ratios of generalised Stirling numbers, given all others. A sweep does so as often as a word has customers
+in a restaurant, for each word in each restaurant, level by level: the first RESEATED times for all words side by side,
+then word by word, which is the same. Parents follow at the end of a level, by as many customers as tables were opened or
 closed; totals of the restaurants are those of the sweep before, plus a word's own changes. The first sweep starts from
 the expected numbers of tables. Predictive probabilities are averaged over the sweeps after burn-in. Every random
 number is a hash of the word, the context and the step, so results depend neither on how the corpus is filed nor on
@@ -52,7 +52,9 @@ CLASSES = 256
 BITS = 52
 END, START = np.uint64(0xE0D0F7EC7), np.uint64(0x57A47F7EC7)
 CONTEXT_STRENGTH, STRENGTH, ROOT_STRENGTH = 1.0, 20.0, 20.0
-BURN_IN, SAMPLES, RESEATED = 2, 2, 16
+BURN_IN, SAMPLES = 2, 2
+#: Customers of each word that are reseated for all words side by side, and numbers held for the others, word by word.
+RESEATED, WALKED = 64, 1 << 17
 #: Bytes of stored table for each part of the words, and of text for each block.
 PART_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
 #: Customers up to which ratios of Stirling numbers are tabulated.
@@ -375,22 +377,31 @@ def stirling_ratio(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
     return out
 
 
+def weights(c: np.ndarray, t: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """How one more customer, besides c at t tables, weighs at these, and at a new table for each mass of one in its restaurant."""
+    above = stirling_ratio(c, t + 1, discount)
+    some = (t < c) & (above > 0)
+    new = np.where(some, 1 + (c - (t + 1) * discount) / np.where(some, above, 1), 1.0) * (t + 1)
+    return (c - t + 1) * (stirling_ratio(c, t, discount) + c - t * discount), new
+
+
 def opening(c: np.ndarray, t: np.ndarray, mass: np.ndarray, discount: float) -> np.ndarray:
     """Probability that one more customer, besides c at t tables, opens one; mass: weight of a new table in its restaurant."""
-    old = (c - t + 1) * (stirling_ratio(c, t, discount) + c - t * discount)
-    above = stirling_ratio(c, t + 1, discount)
-    ratio = np.where((t < c) & (above > 0), 1 + (c - (t + 1) * discount) / np.where(above > 0, above, 1), 1.0)
-    new = mass * (t + 1) * ratio
-    return new / (new + old)
+    old, new = weights(c, t, discount)
+    return mass * new / (mass * new + old)
 
 
-def uniform(keys: np.ndarray, *step: int) -> np.ndarray:
-    """A number in [0, 1) for each key and the step."""
+def mixed(keys: np.ndarray, *step: int | np.ndarray) -> np.ndarray:
+    """Further keys for each key and the step, which may be one for each key."""
     with np.errstate(over="ignore"):
-        x = keys
         for s in step:
-            x = common.mix64(x + np.uint64(s + 1) * np.uint64(0x9E3779B97F4A7C15))
-    return (x >> np.uint64(11)).astype(float) / float(1 << 53)
+            keys = common.mix64(keys + np.uint64(s + 1) * np.uint64(0x9E3779B97F4A7C15))
+    return keys
+
+
+def uniform(keys: np.ndarray, *step: int | np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each key and the step."""
+    return (mixed(keys, *step) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
 def expected_tables(c: np.ndarray, mass: np.ndarray, discount: float) -> np.ndarray:
@@ -406,31 +417,83 @@ def expected_tables(c: np.ndarray, mass: np.ndarray, discount: float) -> np.ndar
 
 
 def reseat(c: np.ndarray, t: np.ndarray, opened: np.ndarray, strength: float, discount: float, p: np.ndarray, p_less: np.ndarray, keys: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables after RESEATED customers of each word at most were taken out and seated again. opened: tables of the
-    restaurant; p: the parent's probability of the word, p_less: with one customer less there."""
+    """Tables after as many customers of each word as it has were taken out and seated again, one after the other. opened:
+    tables of the restaurant; p: the parent's probability of the word, p_less: with one customer less there."""
     t, at = t.copy(), np.flatnonzero(c > 1)
-    opened = opened - t  # of the other words
+    opened, keys = opened - t, mixed(keys, sweep)  # tables of the other words
     for step in range(RESEATED):
         at = at[c[at] > step]
         if not len(at):
-            break
+            return t
         n, m = c[at], t[at]
-        head = uniform(keys[at], sweep, 2 * step) < m / n
+        head = uniform(keys[at], 2 * step) < m / n
         stays = head & (m == 1)  # others sit at the only table
         m = m - (head & ~stays)
         mass = (strength + discount * (opened[at] + m)) * np.where(head, p_less[at], p[at])
-        opens = uniform(keys[at], sweep, 2 * step + 1) < opening(n - 1, m, mass, discount)
+        opens = uniform(keys[at], 2 * step + 1) < opening(n - 1, m, mass, discount)
         t[at] = np.where(stays, t[at], m + opens)
+    # the same for the others of more frequent words, with the probabilities of each word tabulated by its tables
+    at = at[c[at] > RESEATED]
+    done = np.full(len(at), RESEATED)
+    while len(at):
+        reach = 8 + 2 * np.sqrt(np.minimum(t[at], c[at] - t[at])).astype(np.int64)
+        runs = np.minimum(c[at] - done, WALKED)
+        n = max(1, int(np.searchsorted(np.cumsum(2 * reach + runs), WALKED)))
+        now, runs = at[:n], runs[:n]
+        low = np.maximum(t[now] - reach[:n], 1)
+        widths = np.minimum(t[now] + reach[:n], c[now]) - low + 1
+        which, m = _spread(widths + 1, low - 1)  # one table less comes first
+        who = now[which]
+        old, new = weights(c[who] - 1, m, discount)
+        mass = strength + discount * (opened[who] + m)
+        grows, keeps = (mass * x * new / (mass * x * new + old) for x in (p[who], p_less[who]))
+        first, keeps = m / c[who], np.where(m > 0, keeps, 1.0)  # others sit at the only table
+        which, step = _spread(runs, done[:n])
+        heads, draws = uniform(keys[now[which]], 2 * step), uniform(keys[now[which]], 2 * step + 1)
+        # most customers neither close nor open a table, whatever the tables
+        starts = np.cumsum(widths + 1) - widths - 1
+        some = np.flatnonzero((heads < first[starts + widths][which]) | (draws < np.maximum.reduceat(grows, starts)[which]))
+        heads, draws, some_step = heads[some], draws[some], step[some] + 1
+        ends = np.cumsum(np.bincount(which[some], minlength=n))
+        for i, (w, lo, start, width, begin, end) in enumerate(zip(*[x.tolist() for x in (now, low, starts, widths, np.r_[0, ends[:-1]], ends)])):
+            own, less, numbers = slice(start + 1, start + width + 1), slice(start, start + width), slice(begin, end)
+            x, seated = _walk(int(t[w]) - lo, first[own].tolist(), grows[own].tolist(), keeps[less].tolist(), heads[numbers].tolist(), draws[numbers].tolist())
+            t[w] = x + lo
+            done[i] = done[i] + runs[i] if 0 <= x < width else some_step[begin + seated - 1]
+        left = done < c[at]
+        at, done = at[left], done[left]
     return t
 
 
+def _spread(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges of these sizes from these starts on: the range of each number in them, and the number."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) - (np.cumsum(sizes) - sizes - starts)[which]
+
+
+def _walk(x: int, first: list, grows: list, keeps: list, heads: list, draws: list) -> tuple[int, int]:
+    """Takes out and seats again a customer for each of heads and draws: place in the lists, which are by tables, and how
+    many were seated, which ends where a place outside the lists is reached."""
+    for seated, (head, draw) in enumerate(zip(heads, draws), 1):
+        if head < first[x]:
+            if draw >= keeps[x]:
+                x -= 1
+                if x < 0:
+                    return x, seated
+        elif draw < grows[x]:
+            x += 1
+            if x == len(grows):
+                return x, seated
+    return x, len(heads)
+
+
 def follow(c: np.ndarray, t: np.ndarray, now: np.ndarray, opened: np.ndarray, strength: float, discount: float, p: np.ndarray, keys: np.ndarray, sweep: int) -> np.ndarray:
     """Tables after the c customers of each word, at t tables, have become now: by one at a time."""
     c, t = c.copy(), t.copy()
     at, step = np.flatnonzero(c != now), 0
     while len(at):
         n, m = c[at], t[at]
-        u = uniform(keys[at], sweep, 1000 + step)
+        u = uniform(keys[at], sweep, step, 0)  # a step more than in reseat: other numbers
         grows = now[at] > n
         opens = grows & (u < opening(n, m, (strength + discount * opened[at]) * p[at], discount))
         closes = ~grows & (m > 1) & (u < m / n)
