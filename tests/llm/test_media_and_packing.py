@@ -279,3 +279,51 @@ def test_pieces_are_encoded_as_the_tokenizer_does():
     words = [rng.choice(["", " "]) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(20_000)]
     assert [piece(w.encode()) for w in words] == [x.ids for x in tok.encode_batch(words, add_special_tokens=False)]
     assert packing.piece_encoder(public_tokenizers.path("word_bpe_49k.json")) is None
+
+
+_PACKS_MUCH = """
+import pickle, random, re, sys
+import pyarrow as pa
+from tidelog.llm import packing
+
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Pss_Anon:\\s+(\\d+)", f.read())[1]) / 1024
+
+with open(sys.argv[1], "rb") as f:
+    fn = pickle.load(f)
+packing.tokenizer(sys.argv[2])
+rng, letters = random.Random(1), "abcdefghijklmnopqrstuvwxyz"
+words = ["".join(rng.choices(letters, k=8)) for _ in range(400_000)]
+
+def batches():
+    for k in range(2):
+        texts = [" ".join(rng.choices(words, k=300)) for _ in range(2500)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array(texts), pa.array(range(2500))], ["doc_id", "text", "row"])
+
+before, rows = held(), 0
+for b in fn(batches()):
+    rows += b.num_rows
+del b
+print(rows, held() - before)
+"""
+
+
+def test_a_worker_gives_back_what_packing_took(docs, monkeypatch, tmp_path):
+    """Workers outlive a task; what they still hold afterwards stands beside the executor's heap in every later one."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import pytest
+    from pyspark import cloudpickle
+
+    if not Path("/proc/self/smaps_rollup").exists():
+        pytest.skip("memory can't be read here")
+    frame, path, taken = docs([]), public_tokenizers.path("byte_bpe_50k.json"), []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, fn, schema: taken.append(fn) or self)
+    packing.pieces(frame, path)
+    (tmp_path / "fn").write_bytes(cloudpickle.dumps(taken[0]))
+    out = subprocess.run([sys.executable, "-c", _PACKS_MUCH, tmp_path / "fn", path], cwd=Path(packing.__file__).parents[2], capture_output=True, text=True, check=True)
+    rows, mb = out.stdout.split()
+    assert int(rows) == 5000 and float(mb) < 60, mb

@@ -33,8 +33,10 @@ from tidelog.llm import common
 
 LENGTH, END, GROUP = 2048, 1, 2000
 #: Words whose ids a worker keeps in its newer table. When that is full it becomes the older one, from which words that
-#: occur again are taken over.
-KEEP = 200_000
+#: occur again are taken over. The words of one more slice may come on top.
+KEEP = 100_000
+#: Bytes of text that are split into words at once; these take some 20 times as much.
+SLICE = 1 << 20
 #: Texts that are encoded at once.
 BATCH = 2000
 
@@ -198,7 +200,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, last = tokenizer(path), np.array([end], np.uint16).tobytes()
         for whole in batches:
-            for b in common.small_batches(whole, 1, 4 << 20):
+            for b in common.small_batches(whole, 1, SLICE):
                 texts = [x or "" for x in b.column(1).to_pylist()]
                 cols: tuple[list, ...] = ([], [], [], [], [])
                 for row, doc, ids in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), tok(texts)):
@@ -208,6 +210,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
                         for c, v in zip(cols, (doc, n, start, ids[2 * start : 2 * (start + length)], row)):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64())], ["doc_id", "doc_tokens", "start", "ids16", "row"])
+            common.give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
     return common.map_arrow(rows, run, "doc_id long, doc_tokens long, start long, ids16 binary, row long")
